@@ -25,6 +25,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BPE), end_id=2), digest=True)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "quality.*")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.packing import pack, pieces
 
