@@ -32,6 +32,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.jaccard import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), k=4, num=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.packing import pack, pieces
 
