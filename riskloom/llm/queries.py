@@ -19,6 +19,12 @@ def tokenizer_path(name: str) -> str:
 BPE = "byte_bpe_50k.json"
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.topk import scaled, search
+
+    return search(scaled(table(spark, sf_dir, "embeddings")), every=50, k=5)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.tokenfile import read_tokens, write_tokens
 
