@@ -25,6 +25,12 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(scaled(table(spark, sf_dir, "embeddings")), every=50, k=5)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_lines.*", "text")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.tokenfile import read_tokens, write_tokens
 
