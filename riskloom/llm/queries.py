@@ -17,6 +17,13 @@ def tokenizer_path(name: str) -> str:
 
 
 BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.unigram import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +66,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.unigram import decoded, encoded
+
+    path = tokenizer_path(PIECES)
+    return decoded(encoded(table(spark, sf_dir, "documents"), path), path)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.packing import pack, pieces
 
