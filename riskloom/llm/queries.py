@@ -26,6 +26,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.lm import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.topk import scaled, search
 
