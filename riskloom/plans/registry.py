@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _parts():
+    from riskloom.plans import relational
+
+    return (relational,)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for part in _parts() for k, q in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: t for part in _parts() for k, t in part.oracle_sql().items()}
