@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from riskloom.plans import relational
+    from riskloom.plans import domain, relational
 
-    return (relational,)
+    return relational, domain
 
 
 def queries() -> dict[str, Query]:
