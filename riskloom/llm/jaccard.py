@@ -8,8 +8,10 @@ one set has changes one block, so two sets that belong together agree in all but
 distance in blocks is at most the symmetric difference). Documents that agree in one block are candidates.
 
 Blocks of fewer than two elements are the same in too many documents. They are left out as long as a
-document has at most (blocks - D - 1) of them; a document with more gives them too. That loses nothing: if a
-pair agrees in such blocks only, at least blocks - D of them, then both documents have that many and give them.
+document has at most (blocks - D - 1) of them; a document with more gives those of one element too, and if it
+has that many empty blocks, those as well. That loses nothing: if a pair agrees in blocks of fewer than two
+elements only, at least blocks - D of them, then both documents have that many and give them; likewise if it
+agrees in empty blocks only.
 
 Within a task, documents that share a block are put together first, and one of them stands for the others in
 the shuffle, so a block that very many documents share costs the shuffle one entry a task. Candidates are
@@ -35,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHasher, column, drop_stored, mix64, shuffle_parts, small_batches, stored, texts
-from riskloom.llm.components import components
+from riskloom.llm import blocks
+from riskloom.llm.common import WordHasher, column, mix64, shuffle_parts, small_batches, stored, texts
 
 BAND = 1.3
 #: ids up to this number may be broadcast (16 MB); beyond, texts are shuffled to them
@@ -53,9 +55,10 @@ def bands(num: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         most = (high - 1) * 100 // num
         d = (100 - num) * (high - 1 + most) // (100 + num)
         blocks = d + 1
-        for _ in range(20):  # room for blocks of fewer than two elements
+        for _ in range(20):  # room for blocks of fewer than two elements, as many as most sets have
             mean = low / blocks
-            blocks = math.ceil((d + 1) / (1 - min(0.5, math.exp(-mean) * (1 + mean) + 0.5 / math.sqrt(low))))
+            few = blocks * math.exp(-mean) * (1 + mean)
+            blocks = math.ceil(d + 1 + min(few + 0.7 * math.sqrt(few), d / 4 + 3))
         rows.append((low, most, d, blocks))
         low = high
     return tuple(np.array(c, np.int64) for c in zip(*rows))
@@ -90,7 +93,7 @@ def document_sets(docs: list[str], k: int, hasher: WordHasher) -> list[np.ndarra
 
 def sketch_keys(sets: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, place of the set) for every block that counts."""
-    low, most, d, blocks = bands(num)
+    low, most, d, n_blocks = bands(num)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     band = np.searchsorted(low, sizes, "right") - 1
     keys, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
@@ -102,7 +105,7 @@ def sketch_keys(sets: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarra
         mine = np.flatnonzero(use)
         if not len(mine):
             continue
-        n, b = sizes[mine], blocks[k[mine]]
+        n, b = sizes[mine], n_blocks[k[mine]]
         g = np.concatenate([sets[i] for i in mine.tolist()])
         owner = np.repeat(np.arange(len(mine)), n)
         base = np.cumsum(b) - b
@@ -112,14 +115,15 @@ def sketch_keys(sets: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarra
         at, who = block[first], owner[first]
         sig = np.bitwise_xor.reduceat(mix64(g ^ _U(0x5851F42D4C957F2D)), first)
         strong = count >= 2
-        weak = b - np.bincount(who[strong], minlength=len(mine))
-        risky = weak >= b - d[k[mine]]
+        least = b - d[k[mine]]
+        singles = b - np.bincount(who[strong], minlength=len(mine)) >= least
+        empty = b - np.bincount(who, minlength=len(mine)) >= least
         inner = (at - base[who]).astype(_U)
         tag = mix64((k[mine][who].astype(_U) << _U(40)) | inner)
-        take = strong | risky[who]
+        take = strong | singles[who]
         keys.append(mix64(sig[take] ^ tag[take]))
         owners.append(mine[who[take]])
-        for i in np.flatnonzero(risky).tolist():  # blocks without an element, too
+        for i in np.flatnonzero(empty).tolist():
             have = at[who == i] - base[i]
             rest = np.setdiff1d(np.arange(b[i]), have).astype(_U)
             keys.append(mix64(mix64((_U(k[mine[i]]) << _U(40)) | rest)))
@@ -127,14 +131,9 @@ def sketch_keys(sets: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.empty(0, np.int64)
-    return first, np.diff(first, append=len(sorted_))
-
-
-_SIDE = "kind int, doc_id long, n long, s1 long, s2 long, sketch binary, bucket int, keys binary, docs binary"
+_SIDE = "kind int, doc_id long, n long, s1 long, s2 long, sketch array<long>, bucket int, keys binary, docs binary"
 _NAMES = ["kind", "doc_id", "n", "s1", "s2", "sketch", "bucket", "keys", "docs"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _rows(**cols) -> pa.RecordBatch:
@@ -154,7 +153,7 @@ def sketched(docs: DataFrame, k: int, num: int, buckets: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 s1 = [int(s.sum(dtype=_U).astype(np.int64)) if len(s) else 0 for s in sets]
                 s2 = [int(np.bitwise_xor.reduce(mix64(s)).astype(np.int64)) if len(s) else 0 for s in sets]
-            sketch = [np.packbits((np.bincount((s & _U(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes() for s in sets]
+            sketch = [np.packbits((np.bincount((s & _U(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64) for s in sets]
             yield _rows(kind=[0] * len(ids), doc_id=ids, n=[len(s) for s in sets], s1=s1, s2=s2, sketch=sketch)
             # equal sets give their blocks once
             seen: set = set()
@@ -166,57 +165,12 @@ def sketched(docs: DataFrame, k: int, num: int, buckets: int) -> DataFrame:
             if not len(keys):
                 continue
             id_of = np.array([x or 0 for x in ids], np.int64)[owner]
-            order = np.argsort(keys, kind="stable")
-            keys, id_of = keys[order], id_of[order]
-            first, count = _runs(keys)
-            shared = np.repeat(count > 1, count)
-            for kind, ks, vs in ((1, keys[shared], id_of[shared]), (2, keys[first], id_of[first])):
-                where = ((ks >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
-                start, n = _runs(where)
-                yield _rows(
-                    kind=[kind] * len(start), bucket=where[start],
-                    keys=[np.ascontiguousarray(ks[a : a + m]).tobytes() for a, m in zip(start.tolist(), n.tolist())],
-                    docs=[np.ascontiguousarray(vs[a : a + m]).tobytes() for a, m in zip(start.tolist(), n.tolist())],
-                )
+            for cols in blocks.packed(keys, id_of, buckets):
+                yield _rows(**cols)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIDE)
 
 
-def _pair_batch(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs)], names=["key", "doc_id"])
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for ks, vs in zip(column(b, "keys"), column(b, "docs")):
-            yield _pair_batch(np.frombuffer(ks.as_buffer(), _U), np.frombuffer(vs.as_buffer(), np.int64))
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks that several tasks' documents share; rows come sorted by bucket, and one bucket is held at a time."""
-
-    def close(ks: list, vs: list) -> Iterator[pa.RecordBatch]:
-        keys, docs = np.concatenate(ks), np.concatenate(vs)
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        _, count = _runs(keys)
-        several = np.repeat(count > 1, count)
-        if several.any():
-            yield _pair_batch(keys[several], docs[several])
-
-    held, ks, vs = None, [], []
-    for b in batches:
-        for bucket, k, v in zip(column(b, "bucket").to_pylist(), column(b, "keys"), column(b, "docs")):
-            if bucket != held and ks:
-                yield from close(ks, vs)
-                ks, vs = [], []
-            held = bucket
-            ks.append(np.frombuffer(k.as_py(), _U))
-            vs.append(np.frombuffer(v.as_py(), np.int64))
-    if ks:
-        yield from close(ks, vs)
-
-
 def shingle_set(text: str, k: int) -> set:
     w = text.encode("utf-8", "surrogatepass").lower().split()
     return set(zip(*(w[j:] for j in range(k)))) if len(w) >= k else {tuple(w)} if w else set()
@@ -260,54 +214,28 @@ def near_groups(docs: DataFrame, k: int, num: int) -> DataFrame:
     side = stored(sketched(docs, k, num, 16 * parts), "sketches")
     rows = side.where("kind = 0").select("doc_id", "n", "s1", "s2")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
-    apart = side.where("kind = 2").select("bucket", "keys", "docs").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    members = apart.mapInArrow(_shared, "key long, doc_id long").unionByName(side.where("kind = 1").select("keys", "docs").mapInArrow(_unpack, "key long, doc_id long"))
+    members = blocks.shared_keys(side, parts)
     of = rows.where("n > 0").join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("_d"), "cls", "n").distinct()
     of = stored(of, "classes")
-    m = members.join(of, F.col("doc_id") == F.col("_d")).select("key", "cls", "n").distinct()
+    m = members.join(of, F.col("id") == F.col("_d")).select("key", "cls", "n").distinct()
     m = stored(m, "shared-blocks")
-    # the document of a class stands for it; the most connected one of a block is compared with the others
-    weight = m.groupBy("key").agg(F.count("*").alias("w")).where("w > 1")
-    m = m.join(weight.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).drop("_k")
-    central = m.groupBy("cls").agg(F.sum("w").alias("total")).withColumnRenamed("cls", "_c")
-    m = stored(m.join(central, F.col("cls") == F.col("_c")).select("key", "cls", "n", "total"), "blocks")
-    hubs = m.groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("total", -F.col("cls"), "cls", "n")).alias("hub"))
-    near = lambda x, y: 100 * F.least(x, y) >= num * F.greatest(x, y)
-    starred = m.join(hubs, F.col("key") == F.col("_k"))
-    pairs = starred.where((F.col("cls") != F.col("hub.cls")) & near(F.col("n"), F.col("hub.n"))).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("pa"), F.col("n").alias("pb")).distinct()
-    sketches = side.where("kind = 0 AND n > 0").select(F.col("doc_id").alias("_s"), "sketch")
-
-    def sifted(p: DataFrame) -> DataFrame:
-        """Leaves out pairs whose 512-bit sketches differ in more bits than their sets may differ in elements."""
-        ids = stored(p.select(F.col("a").alias("_i")).union(p.select("b")).distinct(), "sift-ids")
-        own = sketches.join(ids, F.col("_s") == F.col("_i"), "left_semi").groupBy("_s").agg(F.min("sketch").alias("sketch"))
-        own = stored(own, "sift")
-        two = p.join(own.select(F.col("_s").alias("a"), F.col("sketch").alias("_x")), "a").join(own.select(F.col("_s").alias("b"), F.col("sketch").alias("_y")), "b")
-        words = [f"bit_count(CAST(conv(hex(substring(_x, {i}, 4)), 16, 10) AS BIGINT) ^ CAST(conv(hex(substring(_y, {i}, 4)), 16, 10) AS BIGINT))" for i in range(1, 65, 4)]
-        return two.where(F.expr(" + ".join(words)) <= F.floor((100 - num) * (F.col("pa") + F.col("pb")) / (100 + num))).select("a", "b")
-
-    first = verified(stored(sifted(pairs), "pairs"), docs, k)
-    linked = F.expr(f"100 * inter >= {num} * (na + nb - inter)")
-    comp = stored(components(first.where(linked).select("a", "b")), "components")
-    named = m.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    mixed = named.groupBy(F.col("key").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).where("lo <> hi AND w > 2")
-    hub_of = hubs.select(F.col("_k").alias("_h"), F.col("hub.cls").alias("hub"))
-    rest = named.join(mixed.select("_k"), F.col("key") == F.col("_k")).join(hub_of, F.col("key") == F.col("_h"))
-    far = first.select(F.col("a").alias("hub"), F.col("b").alias("_b"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("dist"))
-    rest = rest.join(far, (rest["hub"] == far["hub"]) & (F.col("cls") == F.col("_b")), "left").select("key", "cls", "n", "comp", F.when(F.col("cls") == rest["hub"], 0.0).otherwise(F.col("dist")).alias("dist"))
-    rest = stored(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    slack = (100 - num) / 100 + 1e-9
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & near(F.col("x.n"), F.col("y.n"))
-    met &= F.coalesce(F.abs(F.col("x.dist") - F.col("y.dist")) <= slack, F.lit(True))
-    again = x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("pa"), F.col("y.n").alias("pb")).distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = stored(again.join(known, ["a", "b"], "left_anti"), "second-pairs")
-    if not again.isEmpty():
-        second = verified(stored(sifted(again), "pairs"), docs, k)
-        edges = first.where(linked).select("a", "b").unionByName(second.where(linked).select("a", "b"))
-        comp = stored(components(edges), "components")
-    drop_stored(m)
+
+    def near(x, y):
+        return 100 * F.least(x, y) >= num * F.greatest(x, y)
+
+    def may_link(x, y, nx, ny):
+        """512-bit sketches differ in no more bits than the sets may in elements."""
+        bits = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(8)]
+        return functools.reduce(lambda p, q: p + q, bits) * (100 + num) <= (100 - num) * (nx + ny)
+
+    sketches = side.where("kind = 0 AND n > 0").select(F.col("doc_id").alias("cls"), "sketch")
+    sketches = stored(sketches.join(m.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("sketch").alias("sketch")), "own-sketches")
+
+    def compared(p: DataFrame) -> DataFrame:
+        both = F.col("na") + F.col("nb") - F.col("inter")
+        return verified(p, docs, k).select("a", "b", (100 * F.col("inter") >= num * both).alias("link"), (1 - F.col("inter") / both).alias("dist"))
+
+    comp = blocks.linked(m, sketches, near, may_link, compared, slack=(100 - num) / 100)
     out = rows.join(classes, ["n", "s1", "s2"], "left").join(comp, F.col("cls") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
 
