@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from riskloom.plans import domain, relational
+    from riskloom.plans import domain, more, relational
 
-    return relational, domain
+    return relational, domain, more
 
 
 def queries() -> dict[str, Query]:
