@@ -14,6 +14,10 @@ from riskloom.operators.search import STOP, stem
 from riskloom.sources.files import plain
 
 
+#: Fixed value: total risk-based capital, USD.
+CAPITAL = 265_000_000.0
+
+
 @dataclass(frozen=True)
 class Question:
     id: str
@@ -43,6 +47,9 @@ def catalogue() -> list[Question]:
         Question("G06", "How many open alerts are older than thirty days?", ("overdue", "open", "alerts"), lambda g: _one(g["alert"].where((F.col("status") != "CLOSED") & (F.datediff(F.lit("2026-08-31").cast("date"), "alert_date") > 30)), overdue=F.count("*")), "{overdue} overdue"),
         Question("G07", "How much cash came in?", ("cash", "deposits", "in"), lambda g: _one(cash(g), total=F.sum("amount").cast(money)), "${total:,.2f} in"),
         Question("G08", "How much cash went out?", ("cash", "withdrawals", "out"), lambda g: _one(t(g).where("txn_type IN ('CASH_WITHDRAWAL', 'ATM_WITHDRAWAL')"), total=F.sum("amount").cast(money)), "${total:,.2f} out"),
+        Question("G09", "What is the loan to deposit ratio?", ("loan", "deposit", "ratio"), lambda g: _one(g["loan"].select((F.col("principal_usd")).alias("l"), F.lit(0).cast(money).alias("d")).unionByName(g["account"].where("status IN ('OPEN', 'DORMANT')").select(F.lit(0).cast(money).alias("l"), F.col("balance_usd").alias("d"))), ratio=F.sum("l").cast("double") / F.sum("d").cast("double")), "{ratio:.2f}"),
+        Question("G10", "How large is commercial real estate against capital?", ("commercial", "estate", "capital"), lambda g: _one(g["loan"].where("loan_type = 'CRE' AND NOT owner_occupied"), share=F.sum("principal_usd").cast("double") / F.lit(CAPITAL)), "{share:.1%} of capital"),
+        Question("G15", "How many loans are ninety days past due?", ("ninety", "past", "due", "loans"), lambda g: _one(g["loan"].where("days_past_due >= 90"), loans=F.count("*"), principal=F.sum("principal_usd").cast(money)), "{loans} loans"),
         Question("G11", "What are the deposit balances by product?", ("balances", "deposit", "product"), lambda g: g["account"].where("status IN ('OPEN', 'DORMANT')").groupBy("product_type").agg(F.sum("balance_usd").cast(money).alias("balance")).orderBy("product_type"), "{row_count} products"),
         Question("G12", "How many accounts are dormant?", ("dormant", "accounts"), lambda g: _one(g["account"].where("dormant_since IS NOT NULL AND reactivated_on IS NULL"), dormant=F.count("*")), "{dormant} dormant"),
         Question("G13", "Who deposited the most cash in the last thirty days?", ("top", "cash", "customers", "deposited"), lambda g: cash(g).where("posted_date > DATE '2026-08-31' - 30 AND party_id IS NOT NULL").groupBy("party_id").agg(F.sum("amount").cast(money).alias("total")).orderBy(F.desc("total"), "party_id").limit(5), "{party_id} with ${total:,.2f}"),

@@ -81,7 +81,7 @@ def signals(spark: SparkSession, txn: DataFrame, account: DataFrame, kyc: DataFr
 
 
 def build(spark: SparkSession, folder: str, p: Params = Params(), store: str | None = None) -> dict[str, DataFrame]:
-    raw = {t: scan(spark, folder, t) for t in ("core_a_customers", "core_a_accounts", "core_a_txns", "core_a_aml_alerts", "core_b_party", "core_b_deposit_account", "core_b_txn", "core_b_case_alert", "doc_kyc_summaries")}
+    raw = {t: scan(spark, folder, t) for t in ("core_a_customers", "core_a_accounts", "core_a_txns", "core_a_aml_alerts", "core_b_party", "core_b_deposit_account", "core_b_txn", "core_b_case_alert", "doc_kyc_summaries", "core_a_loans", "core_b_loan")}
     out: dict[str, DataFrame] = {}
 
     def put(name: str, df: DataFrame) -> DataFrame:
@@ -99,6 +99,7 @@ def build(spark: SparkSession, folder: str, p: Params = Params(), store: str | N
     put("match_review_queue", matching.review_queue(pairs, links))
     put("party", canonical.parties(xref, std))
     account = put("account", canonical.accounts(raw["core_a_accounts"], raw["core_b_deposit_account"], xref))
+    put("loan", canonical.loans(raw["core_a_loans"], raw["core_b_loan"], xref))
     txn = put("transaction", canonical.transactions(raw["core_a_txns"], raw["core_b_txn"], account))
     alert = put("alert", canonical.alerts(raw["core_a_aml_alerts"], raw["core_b_case_alert"], account, xref))
     kyc = put("kyc_profile", canonical.profiles(raw["doc_kyc_summaries"], xref))

@@ -24,7 +24,7 @@ def generate(folder: str, seed: int = 7, people: int = 160, duplicates: int = 30
     code = lambda n: "".join(r.choice("0123456789ABCDEF") for _ in range(n))
     uid = lambda: str(uuid.UUID(int=r.getrandbits(128), version=4))
     truth: dict = {"links": set(), "lookalikes": set(), "dq": {}, "patterns": {}}
-    a_rows, b_rows, a_acc, b_acc, a_txn, b_txn, alerts, cases, kyc = ([] for _ in range(9))
+    a_rows, b_rows, a_acc, b_acc, a_txn, b_txn, alerts, cases, kyc, a_loans, b_loans = ([] for _ in range(11))
 
     def person() -> dict:
         city, state = r.choice(_CITIES)
@@ -119,5 +119,11 @@ def generate(folder: str, seed: int = 7, people: int = 160, duplicates: int = 30
             alerts.append({"ALERT_ID": f"AL{i:05d}", "CIF_NO": cif, "ACCT_NO": x, "RULE_CD": "STR02", "ALERT_DT": "20260820", "ALERT_SCORE": str(40 + i), "ALERT_STAT": "OPEN", "BR_CD": "001"})
         if i % 5 == 0:
             cases.append({"case_ref": f"CS{i:05d}", "party_uuid": key, "acct_ref": y, "scenario_name": "Large Cash Activity", "created_at": "2026-08-01T10:00:00-04:00", "priority": "P1", "state": "CLOSED", "outcome": "NOT_SUSPICIOUS", "closed_at": "2026-08-09T10:00:00-04:00"})
-    tables = {"core_a_customers": a_rows, "core_a_accounts": a_acc, "core_a_txns": a_txn, "core_a_aml_alerts": alerts, "core_b_party": b_rows, "core_b_deposit_account": b_acc, "core_b_txn": b_txn, "core_b_case_alert": cases, "doc_kyc_summaries": kyc}
+    for i, (cif, key, _, _) in enumerate(both):
+        kind = ["AUTO", "MORT", "CRE", "CI"][i % 4]
+        a_loans.append({"LOAN_NO": f"L{i:06d}", "CIF_NO": cif, "LOAN_TYP": kind, "BR_CD": "002", "ORIG_DT": "20200105", "MAT_DT": "20300105", "ORIG_AMT_CENTS": str(90_000_00 + i), "CUR_PRIN_CENTS": str(70_000_00 + i), "INT_RATE_PCT": "5.125", "COLL_TYP": ["CRE-OFF", "CRE-MF"][i % 2] if kind == "CRE" else "", "OWNER_OCC_FLG": "N", "DPD": str(i * 7 % 130)})
+        if i % 3 == 0:
+            cre = i % 2 == 0
+            b_loans.append({"note_number": f"N{i:06d}", "party_uuid": key, "product_name": "Commercial Real Estate" if cre else "Personal Loan", "branch_name": "South", "booked_on": "2021-03-04", "maturity_on": "2031-03-04", "original_amount": "250000.00", "principal_outstanding": "200000.50", "interest_rate_pct": "6.000", "collateral_desc": "Warehouse on Main St" if cre else "Office chair", "owner_occupied": "false", "days_delinquent": str(i * 5 % 120)})
+    tables = {"core_a_customers": a_rows, "core_a_accounts": a_acc, "core_a_txns": a_txn, "core_a_aml_alerts": alerts, "core_b_party": b_rows, "core_b_deposit_account": b_acc, "core_b_txn": b_txn, "core_b_case_alert": cases, "doc_kyc_summaries": kyc, "core_a_loans": a_loans, "core_b_loan": b_loans}
     return {"manifest": [write_csv(folder, t, rows) for t, rows in tables.items()], "truth": truth}

@@ -69,6 +69,13 @@ def test_canonical_rows_parse_and_keep_lineage(bank):
     assert g["account"].count() == g["account"].select("account_id").distinct().count()
 
 
+def test_loans_decode(bank):
+    _, g = bank
+    assert {r.loan_type for r in g["loan"].collect()} == {"AUTO", "MORTGAGE", "CRE", "C_AND_I", "PERSONAL"}
+    assert g["loan"].where("(loan_type = 'CRE') <> (cre_category IS NOT NULL)").count() == 0
+    assert g["loan"].where("party_id IS NULL OR principal_usd IS NULL OR days_past_due IS NULL").count() == 0
+
+
 def test_raising_a_threshold_silences_its_rule(spark, bank, tmp_path):
     from riskloom.plans.bank import signals
 
