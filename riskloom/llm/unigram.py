@@ -158,8 +158,9 @@ class Unigram:
                 self.by_word &= MARK not in p.lstrip(MARK)
         if len(self.machine):
             self.machine.make_automaton()
-        eighths = all((8 * s).is_integer() for s in normal)
-        self.add = (lambda a, b: a + b) if eighths else (lambda a, b: float(np.float32(a + b)))
+        self.by_line = self.by_word and self.dummy_prefix and self.byte_fallback and not any("\n" in p for p in self.pieces)
+        self.exact = all((8 * s).is_integer() for s in normal)  # sums are the same in single precision
+        self.add = (lambda a, b: a + b) if self.exact else (lambda a, b: float(np.float32(a + b)))
         return self
 
     def normalise(self, text: str) -> str:
@@ -180,6 +181,19 @@ class Unigram:
         text = self.normalise(text)
         return (re.split(f"(?<=[^{MARK}])(?={MARK})", text) if self.by_word else [text]), False
 
+    def lines(self, text: str) -> list[list[str]] | None:
+        """Words of each line. Every path passes both sides of a line feed that no piece has, so lines are apart
+        too; a line's words but the first have the mark before them, and so has the first of all. None where
+        spaces in a row could share a piece."""
+        if not self.by_line or MARK in text or not text:
+            return None
+        if self.trim_spaces and ("  " in text or text[:1] == " " or text[-1:] == " "):
+            return None
+        out = [line.split(" ") for line in text.split("\n")]
+        if not out[0][0] or any("" in words[1:] for words in out):
+            return None
+        return out
+
     def steps(self, text: str) -> Iterator[tuple[int, int, float, int]]:
         """(end, start, score, id) of all pieces in the text, by end and then start; unknown characters have id -1."""
         known = self.single.issuperset(text)
@@ -200,6 +214,8 @@ class Unigram:
 
     def count(self, text: str) -> complex:
         """Number of pieces (real part) and score (imaginary) of the best path: no path is kept."""
+        if self.exact and self.single.issuperset(text):
+            return self._count_known(text)
         add = self.add
         best: list[float | None] = [0.0] + [None] * len(text)
         many = [0] * (len(text) + 1)
@@ -218,6 +234,22 @@ class Unigram:
                     many[end], loose[end] = many[start] + (not loose[start]), True
         return complex(many[-1], best[-1] or 0.0)
 
+    def _count_known(self, text: str) -> complex:
+        """count() where every character is a piece and sums are exact."""
+        best: list = [0.0] + [None] * len(text)
+        many = [0] * (len(text) + 1)
+        for last, piece in self.machine.iter(text):
+            n, score, _ = piece
+            end = last + 1
+            have = best[end - n]
+            if have is not None:
+                have += score
+                old = best[end]
+                if old is None or have > old:
+                    best[end] = have
+                    many[end] = many[end - n] + 1
+        return complex(many[-1], best[-1])
+
     def decode(self, ids: list[int]) -> str:
         out: list[bytes] = []
         for i in ids:
@@ -300,6 +332,32 @@ class Streaming:
         self.clear()
         return out
 
+    def whole(self, text: str) -> list[int]:
+        """feed() and finish() of a text that starts anew. One that fits in the window and has no unknown
+        character can't be committed before its end, so its paths are kept without looking for a meeting."""
+        m = self.m
+        if len(text) > m.longest or not m.exact or not m.single.issuperset(text):
+            return self.feed(text) + self.finish()
+        best: list = [0.0] + [None] * len(text)
+        back: list = [None] * (len(text) + 1)
+        for last, piece in m.machine.iter(text):
+            n, score, i = piece
+            end = last + 1
+            have = best[end - n]
+            if have is not None:
+                have += score
+                old = best[end]
+                if old is None or have > old:
+                    best[end] = have
+                    back[end] = (end - n, i)
+        out = []
+        p = len(text)
+        while p:
+            p, i = back[p]
+            out.append(i)
+        out.reverse()
+        return out
+
 
 class _Memo(dict):
     def __init__(self, make, limit: int):
@@ -328,6 +386,14 @@ class Counter:
         self.bare = _Memo(model.count, limit // 8)
 
     def __call__(self, text: str) -> tuple[int, float]:
+        lines = self.model.lines(text)
+        if lines is not None:
+            lines[0] = ["", *lines[0]]
+            heads = [w[0] for w in lines if w[0]] + ["\n"] * (len(lines) - 1)
+            got = sum(map(self.bare.__getitem__, heads), 0j)
+            for w in lines:
+                got = sum(map(self.marked.__getitem__, w[1:]), got)
+            return int(got.real), got.imag
         parts, marked = self.model.chunks(text)
         got = sum(map((self.marked if marked else self.bare).__getitem__, parts), 0j)
         return int(got.real), got.imag
@@ -342,9 +408,17 @@ class Encoder:
         self.bare = _Memo(self._ids, limit // 8)
 
     def _ids(self, chunk: str) -> bytes:
-        return array("i", self.stream.feed(chunk) + self.stream.finish()).tobytes()
+        return array("i", self.stream.whole(chunk)).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        lines = self.model.lines(text)
+        if lines is not None:
+            lines[0] = ["", *lines[0]]
+            feed, parts = self.bare["\n"], []
+            for w in lines:
+                head = [self.bare[w[0]]] if w[0] else []
+                parts.append(b"".join([*head, *map(self.marked.__getitem__, w[1:])]))
+            return feed.join(parts)
         parts, marked = self.model.chunks(text)
         out = b"".join(map((self.marked if marked else self.bare).__getitem__, parts))
         if not self.model.byte_fallback:  # unknown characters in a row are one piece
