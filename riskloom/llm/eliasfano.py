@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_POP8 = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.uint8)
 #: place of the r-th set bit of a byte
 _SELECT8 = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -44,47 +43,65 @@ class Sequence:
         self.n, self.low = (int(x) for x in parts[prefix + "meta"])
         self.high, self.before, self.packed = (parts[prefix + k] for k in ("high", "before", "low"))
 
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low:
+            return np.zeros(len(i), _U)
+        at = i.astype(_U) * _U(self.low)
+        w, shift = (at >> _U(6)).astype(np.int64), at & _U(63)
+        part = self.packed[w] >> shift
+        over = np.flatnonzero(shift + _U(self.low) > _U(64))
+        if len(over):
+            part[over] |= self.packed[w[over] + 1] << (_U(64) - shift[over])
+        return part & _U((1 << self.low) - 1)
+
+    @staticmethod
+    def _select(bits: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Place of the rest-th set bit of each word, by halves."""
+        place = np.zeros(len(bits), np.int64)
+        for width in (32, 16, 8):
+            n = np.bitwise_count(bits & _U((1 << width) - 1)).astype(np.int64)
+            go = rest >= n
+            rest = rest - n * go
+            bits = bits >> (_U(width) * go)
+            place += width * go
+        return place + _SELECT8[(bits & _U(255)).astype(np.int64), rest]
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
         i = np.asarray(i, np.int64)
         word = np.searchsorted(self.before, i, "right") - 1
-        rest = (i - self.before[word]).astype(np.int64)
-        bits = self.high[word]
-        place = np.zeros(len(i), np.int64)
-        for _ in range(7):  # bytes whose set bits all come before
-            n = _POP8[(bits & _U(255)).astype(np.int64)]
-            go = rest >= n
-            if not go.any():
-                break
-            rest = np.where(go, rest - n, rest)
-            bits = np.where(go, bits >> _U(8), bits)
-            place += go * 8
-            # a byte that isn't passed stays, so later rounds leave it as it is
-        high = (word << 6) + place + _SELECT8[(bits & _U(255)).astype(np.int64), rest] - i
-        out = high.astype(_U) << _U(self.low)
-        if self.low:
-            at = i.astype(_U) * _U(self.low)
-            w, shift = (at >> _U(6)).astype(np.int64), at & _U(63)
-            part = self.packed[w] >> shift
-            over = shift + _U(self.low) > _U(64)
-            if over.any():
-                part[over] |= self.packed[w[over] + 1] << (_U(64) - shift[over])
-            out |= part & _U((1 << self.low) - 1)
-        return out
+        high = (word << 6) + self._select(self.high[word], i - self.before[word]) - i
+        return high.astype(_U) << _U(self.low) | self._low(i)
+
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """Number of values with a smaller high part: the place of the (high - 1)-th unset bit tells it."""
+        zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
+        nth = np.maximum(high - 1, 0)
+        word = np.searchsorted(zeros, nth, "right") - 1
+        past = word >= len(self.high)
+        word = np.minimum(word, len(self.high) - 1)
+        place = (word << 6) + self._select(~self.high[word], np.where(past, 0, nth - zeros[word]))
+        return np.where(high <= 0, 0, np.where(past, self.n, place - high + 1))
 
     def successor(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it holds value) of the first of places lo..hi-1 with at least value; hi if none has."""
-        lo, end = lo.astype(np.int64).copy(), hi.astype(np.int64)
-        hi = end.copy()
-        live = np.flatnonzero(lo < hi)
+        """(place, whether it holds value) of the first of places lo..hi-1 with at least value; hi if none has.
+
+        Values with value's high part lie between two unset bits; among those few, low parts are searched."""
+        high = (value >> _U(self.low)).astype(np.int64)
+        want = value & _U((1 << self.low) - 1)
+        end = hi.astype(np.int64)
+        a = np.minimum(np.maximum(lo, self._below(high)), end)
+        b = np.maximum(a, np.minimum(end, self._below(high + 1)))
+        stop = b.copy()
+        live = np.flatnonzero(a < b)
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.get(mid) < value[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
-        hit = np.zeros(len(lo), bool)
-        inside = np.flatnonzero(lo < end)
+            mid = (a[live] + b[live]) >> 1
+            less = self._low(mid) < want[live]
+            a[live[less]] = mid[less] + 1
+            b[live[~less]] = mid[~less]
+            live = live[a[live] < b[live]]
+        hit = np.zeros(len(a), bool)
+        inside = np.flatnonzero(a < stop)
         if len(inside):
-            hit[inside] = self.get(lo[inside]) == value[inside]
-        return lo, hit
+            hit[inside] = self._low(a[inside]) == want[inside]
+        return a, hit

@@ -220,8 +220,10 @@ class Reader:
                 continue
             pointers, words = eliasfano.Sequence(part, "p_"), eliasfano.Sequence(part, "w_")
             own = ctx[mine] - first
-            lo, hi = pointers.get(own).astype(np.int64), pointers.get(own + 1).astype(np.int64)
+            each, many = runs(own)  # contexts come in order: pointers are read once for each
+            lo, hi = pointers.get(own[each]).astype(np.int64), pointers.get(own[each] + 1).astype(np.int64)
             base = np.where(lo > 0, words.get(np.maximum(lo - 1, 0)), 0).astype(_U)
+            lo, hi, base = (np.repeat(x, many) for x in (lo, hi, base))
             known = word[mine] >= 0
             at, hit = words.successor(lo, np.where(known, hi, lo), base + np.maximum(word[mine], 0).astype(_U))
             place[mine[hit]] = at[hit] + level.bases[s]
