@@ -165,8 +165,22 @@ def test_every_close_simhash_shares_a_key():
     y = x.copy()
     for b in r.integers(0, 64, (lines.RADIUS, 200)):
         y ^= np.uint64(1) << b.astype(np.uint64)
-    a, b = lines.block_keys(x), lines.block_keys(y)
-    assert (a == b).any(1).all()
+    masks = lines.block_masks()
+    assert len(masks) == 20 and np.any([(x & m) == (y & m) for m in masks], axis=0).all()
+
+
+def test_close_simhashes(spark):
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 30, dtype=np.uint64)
+    sims = [base, base[:10] ^ np.uint64(7), base[:5] ^ np.uint64(1 << 40)]
+    hot = base[0] ^ np.array([(1 << i) | (1 << j) for i in range(20) for j in range(20, 40)], np.uint64)
+    every = np.unique(np.concatenate([*sims, hot]))
+    got = {}
+    for row in lines.close_simhashes(spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "sim long"), 3).collect():
+        got.setdefault(row.key, set()).add(row.sim)
+    for i, x in enumerate(every):
+        for y in every[:i][np.bitwise_count(every[:i] ^ x) <= lines.RADIUS]:
+            assert any({int(np.int64(x.view(np.int64))), int(y.view(np.int64))} <= v for v in got.values())
 
 
 def test_packed_keeps_every_membership():
