@@ -41,7 +41,7 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_lines.*", "text")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True).select("doc_id", "_lines.*", "text")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,3 +188,24 @@ def test_packed_keeps_every_membership():
     rows = list(blocks.packed(keys, np.arange(6), 4))
     seen = {(k, v) for row in rows for ks, vs in zip(row["keys"], row["docs"]) for k, v in zip(np.frombuffer(ks, np.uint64).tolist(), np.frombuffer(vs, np.int64).tolist())}
     assert seen == set(zip(keys.tolist(), range(6)))
+
+
+def test_wide_lines_against_brute_force(spark):
+    """Edit similarity alone decides: one or two words of ten to forty are replaced, so most SimHashes are far apart."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    names = []
+    for n in (10, 16, 24) * 4:
+        base = [word() for _ in range(n)]
+        names.append(" ".join(base))
+        for edits in (1, 1, 2, 2):
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(n)] = word()
+            names.append(" ".join(w))
+    names = list(dict.fromkeys(names))
+    links = [(i, j) for j in range(len(names)) for i in range(j) if 100 * edit(names[i], names[j]) <= 20 * max(len(names[i]), len(names[j]))]
+    gone = {i for i, g in groups(range(len(names)), links).items() if i != g}
+    rows = list(enumerate(names))
+    got = {x.doc_id for x in lines.dedup_lines(frame(spark, rows), wide=True).collect() if x.text == ""}
+    assert got <= gone and len(got) >= 0.9 * len(gone)
