@@ -6,11 +6,12 @@ longer one doesn't start with the shorter one, the template rewrites history; th
 starts where the outputs part. Inside a span, the text's own place is where outputs for two one-letter probes
 differ, so no knowledge of the template is needed for the loss mask.
 
-A template may promise a context: the number of turns before a turn that its rendering can depend on. Then
-prefixes start that many turns back, so time is linear and memory bounded however long a conversation is.
-Without a promise, whole prefixes are rendered.
+Whole prefixes are rendered, in the query too, so memory is a conversation and time grows with the square of its
+length. A caller may promise a context, the number of turns before a turn that its rendering can depend on: then
+prefixes start that many turns back, time is linear and memory bounded, but a template that rewrites turns farther
+back isn't found out.
 
-Rows are dealt by conversation, sorted, and streamed a turn at a time; no conversation is gathered.
+Rows are dealt by conversation, sorted, and streamed a turn at a time.
 
 Defined results: turns are ordered by turn, role and text, nulls first; null text and role are empty; rows
 that repeat a turn are turns each; a null conv_id is a conversation of its own; other columns are ignored; an
@@ -49,7 +50,7 @@ def unescape(text: str) -> str:
 
 
 def instruct(turns: list[Turn]) -> str:
-    """The template of the query; its context is 0."""
+    """The template of the query."""
     marks = {"user": ("[INST]", "[/INST]"), "system": ("<<SYS>>", "<</SYS>>"), "assistant": ("<s>", "</s>")}
     out = []
     for role, text in turns:
@@ -109,7 +110,7 @@ class Renderer:
 _PIECES = "conv_id long, nth long, role string, start long, text_from long, text_to long, rewritten boolean, piece string"
 
 
-def format_turns(conversations: DataFrame, template: Template = instruct, context: int | None = 0) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = instruct, context: int | None = None) -> DataFrame:
     """A row for each turn, in order within its partition: the piece it adds and where its text is in it."""
     parts = shuffle_parts(conversations.sparkSession)
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.col(c).cast("string").alias(c) for c in ("role", "text"))]

@@ -189,3 +189,13 @@ def test_black_box_templates():
     got = [plain.add("user", "hi"), plain.add("assistant", "x|y")]
     assert [(g["piece"], g["start"]) for g in got] == [("BOS|user:hi", 0), ("|assistant:x|y", 11)]
     assert got[1]["piece"][got[1]["text_from"] : got[1]["text_to"]] == "x|y"
+
+
+def test_frames_compare_whole_prefixes_unless_a_context_is_named(spark):
+    def closing(turns):  # the end moves: history changes
+        return "BOS" + "".join(f"|{r}:{t}" for r, t in turns) + ("EOS" if len(turns) > 2 else "")
+
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate("abcd")], "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_turns(df, closing).collect(), key=lambda x: x.nth)
+    assert [(x.piece, x.start, x.rewritten) for x in got] == [("BOS|user:a", 0, False), ("|user:b", 10, False), ("|user:cEOS", 17, False), ("|user:dEOS", 24, True)]
+    assert [x.piece[x.text_from : x.text_to] for x in got] == list("abcd")
