@@ -347,7 +347,7 @@ def _reduce(rows: DataFrame, folder: str, level: int, parts: int) -> list:
     return stored(dealt.mapInArrow(run, _MANIFEST), f"manifest-{level}").orderBy("shard").collect()
 
 
-def train(docs: DataFrame, order: int = 2) -> Model:
+def train(docs: DataFrame, order: int = 3) -> Model:
     """A model of the documents (columns doc_id, text)."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -518,7 +518,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def train_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = 3) -> DataFrame:
     """Scores all documents with a model of those that aren't held out."""
     own = _by_doc(docs)
     model = train(own.where(~held_out(F.col("doc_id"))), order)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from riskloom.llm import eliasfano, lm, quality, topk
+from riskloom.llm import eliasfano, lm, quality, topk, queries
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -190,3 +190,11 @@ def test_pipeline(spark):
             docs = corpus_pipeline.stored(docs, "test-stage")
     assert after == before
     assert corpus_pipeline.run(spark, TABLES).count() == docs.count()
+
+
+def test_registered_query_has_two_words_of_context(spark, monkeypatch):
+    models, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *args: models.append(train(*args)) or models[-1])
+    rows = queries.op2_lm_scoring(spark, TABLES)
+    assert models[0].order >= 3 and len(models[0].levels) >= 3 and models[0].levels[2].size > 0
+    assert rows.count() == spark.read.parquet(f"{TABLES}/documents.parquet").count()
