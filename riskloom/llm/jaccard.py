@@ -69,7 +69,8 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = h.copy()
         for j in range(1, k):
-            s[: len(h) - j] = s[: len(h) - j] * _U(0x9E3779B97F4A7C15) + mix64(h[j:] ^ _U(j))[: len(h) - j]
+            n = max(0, len(h) - j)
+            s[:n] = s[:n] * _U(0x9E3779B97F4A7C15) + mix64(h[j:] ^ _U(j))
     return mix64(s)
 
 
