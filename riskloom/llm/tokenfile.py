@@ -1,14 +1,14 @@
 """Token-ID / binary output: tokenised documents in Simple-8b shard files.
 
 A shard file holds, little endian: MAGIC; counts of documents, ids, words and blocks and the block size
-(five uint64); doc_id (int64) and number of ids (uint32) of each document, in ascending doc_id; the first
+(five uint64) and of leading documents without an id (uint64); doc_id (int64) and number of ids (uint32) of each document, in ascending doc_id; the first
 word of each block (uint64); the words (uint64).
 
-Documents are dealt by ranges of doc_id and sorted within a range, so shards in order are the corpus in
-order. Each task writes its own file in the shared folder under a name of its own and reports it in a
+Documents are dealt by ranges of doc_id, length and a hash of the text and sorted within a range, so shards in order
+are the corpus in order, and rows of one id may be in several shards. Each task writes its own file in the shared folder under a name of its own and reports it in a
 manifest that Spark commits; a repeated task leaves a file that no manifest names.
 
-Defined results: null text counts as empty (its end id is written); a null doc_id is stored as -1 and
+Defined results: null text counts as empty (its end id is written); a null doc_id stays null and
 comes first; repeated rows are each written, next to each other; an empty table gives no shard and no
 rows; columns other than doc_id and text are ignored.
 """
@@ -31,7 +31,7 @@ from riskloom.llm.common import column, filesystem, shared_path, shuffle_parts,
 
 MAGIC = b"RLTOKS8B"
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
-_HEAD = struct.Struct("<5Q")
+_HEAD = struct.Struct("<6Q")
 #: ids that are coded at a time: a whole number of blocks, so memory doesn't grow with the shard
 FLUSH = 1024 * simple8b.BLOCK
 
@@ -41,13 +41,14 @@ class ShardWriter:
 
     def __init__(self, end_id: int):
         self.end = np.array([end_id], "<u4").tobytes()
-        self.ids, self.held = [], 0
+        self.ids, self.held, self.nulls = [], 0, 0
         self.doc_ids, self.counts, self.words, self.offsets, self.n_words = [], [], [], [], 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         self.ids += [ids, self.end]
         self.held += len(ids) // 4 + 1
-        self.doc_ids.append(doc_id)
+        self.nulls += doc_id is None
+        self.doc_ids.append(doc_id or 0)
         self.counts.append(len(ids) // 4 + 1)
         if self.held >= FLUSH:
             self._code(self.held // simple8b.BLOCK * simple8b.BLOCK)
@@ -64,7 +65,7 @@ class ShardWriter:
         self._code(self.held)
         offsets = np.concatenate(self.offsets)
         counts = np.array(self.counts, "<u4")
-        head = _HEAD.pack(len(counts), int(counts.sum(dtype=np.int64)), self.n_words, len(offsets), simple8b.BLOCK)
+        head = _HEAD.pack(len(counts), int(counts.sum(dtype=np.int64)), self.n_words, len(offsets), simple8b.BLOCK, self.nulls)
         return [MAGIC, head, np.array(self.doc_ids, "<i8").tobytes(), counts.tobytes(), offsets.astype("<u8").tobytes(), *self.words]
 
 
@@ -75,7 +76,7 @@ class ShardReader:
             self.data = f.read()
         if self.data[:8] != MAGIC:
             raise ValueError(f"{uri} isn't a token file")
-        self.n_docs, self.n_ids, n_words, n_blocks, self.block = _HEAD.unpack_from(self.data, 8)
+        self.n_docs, self.n_ids, n_words, n_blocks, self.block, self.nulls = _HEAD.unpack_from(self.data, 8)
         at = 8 + _HEAD.size
         parts = []
         for n, kind in ((self.n_docs, "<i8"), (self.n_docs, "<u4"), (n_blocks, "<u8"), (n_words, "<u8")):
@@ -102,8 +103,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
     parts = parts or shuffle_parts(spark)
-    by_id = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = by_id.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ["doc_id", F.length("text"), F.xxhash64("text")]  # one id, null too, may have very many rows
+    dealt = by_id.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,7 @@ def read_tokens(manifest: DataFrame, digest: bool = False) -> DataFrame:
                         values.append(zlib.crc32(raw) if digest else raw)
                     rows = slice(done, last)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(r.doc_ids[rows]), pa.array(starts[rows] + base), pa.array(r.counts[rows].astype(np.int64)), pa.array(values, pa.int64() if digest else pa.binary())],
+                        [pa.array(r.doc_ids[rows], mask=np.arange(done, last) < r.nulls), pa.array(starts[rows] + base), pa.array(r.counts[rows].astype(np.int64)), pa.array(values, pa.int64() if digest else pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                     )
                     cut = int(starts[last]) if last < r.n_docs else to
