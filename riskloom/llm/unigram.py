@@ -264,7 +264,7 @@ class Unigram:
 
 class Streaming:
     """Viterbi over characters that come in parts. It keeps the places that a path may still pass: those behind
-    the last committed boundary. When the back pointers of the last `longest` places meet at one boundary, the
+    the last committed boundary. When they are more than `longest` and the back pointers of the last `longest` places meet at one boundary, the
     ids up to it are final and leave the window."""
 
     def __init__(self, model: Unigram):
@@ -281,7 +281,8 @@ class Streaming:
         for at in range(0, len(more), self.m.longest):
             self._extend(more[at : at + self.m.longest])
             self.peak = max(self.peak, len(self.text))
-            out += self._commit(self._meeting())
+            if len(self.text) > self.m.longest:  # the window is full
+                out += self._commit(self._meeting())
         return out
 
     def _extend(self, part: str) -> None:
@@ -290,13 +291,14 @@ class Streaming:
         self.best += [None] * len(part)
         self.back += [(0, -1)] * len(part)
         base = max(0, old - m.longest + 1)  # a piece that ends in the new part starts at most that far back
-        for end, start, score, i in m.steps(self.text[base:]):
-            end, start = end + base, start + base
-            if end <= old or (have := self.best[start]) is None:
+        best, back, add = self.best, self.back, m.add
+        for end, start, score, i in m.steps(self.text[base:] if base else self.text):
+            end += base
+            if end <= old or (have := best[start + base]) is None:
                 continue
-            have = m.add(have, score)
-            if self.best[end] is None or have > self.best[end]:
-                self.best[end], self.back[end] = have, (start, i)
+            have = have + score if m.exact else add(have, score)
+            if best[end] is None or have > best[end]:
+                best[end], back[end] = have, (start + base, i)
 
     def _meeting(self) -> int:
         """The last boundary that the paths of all places a piece may still start at have in common."""
@@ -332,32 +334,6 @@ class Streaming:
         self.clear()
         return out
 
-    def whole(self, text: str) -> list[int]:
-        """feed() and finish() of a text that starts anew. One that fits in the window and has no unknown
-        character can't be committed before its end, so its paths are kept without looking for a meeting."""
-        m = self.m
-        if len(text) > m.longest or not m.exact or not m.single.issuperset(text):
-            return self.feed(text) + self.finish()
-        best: list = [0.0] + [None] * len(text)
-        back: list = [None] * (len(text) + 1)
-        for last, piece in m.machine.iter(text):
-            n, score, i = piece
-            end = last + 1
-            have = best[end - n]
-            if have is not None:
-                have += score
-                old = best[end]
-                if old is None or have > old:
-                    best[end] = have
-                    back[end] = (end - n, i)
-        out = []
-        p = len(text)
-        while p:
-            p, i = back[p]
-            out.append(i)
-        out.reverse()
-        return out
-
 
 class _Memo(dict):
     def __init__(self, make, limit: int):
@@ -408,7 +384,7 @@ class Encoder:
         self.bare = _Memo(self._ids, limit // 8)
 
     def _ids(self, chunk: str) -> bytes:
-        return array("i", self.stream.whole(chunk)).tobytes()
+        return array("i", self.stream.feed(chunk) + self.stream.finish()).tobytes()
 
     def __call__(self, text: str) -> bytes:
         lines = self.model.lines(text)
