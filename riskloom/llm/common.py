@@ -32,6 +32,8 @@ def shared_root(spark: SparkSession) -> str:
     without one (tests on one machine) gets a folder of its own."""
     root = spark.conf.get(CHECKPOINT, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} isn't set, and a folder of one machine can't stand in for it on a cluster")
         root = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set(CHECKPOINT, root)
     return root.rstrip("/")

@@ -175,6 +175,16 @@ def test_packed_keeps_every_membership():
     assert seen == set(zip(keys.tolist(), range(6)))
 
 
+def test_edit_distance_within_a_bound():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abé ") for _ in range(r.randint(0, 90))) for _ in "ab")
+        if r.random() < 0.5:
+            b = a[: len(a) // 3] + b[:3] + a[len(a) // 2 :]
+        d = edit(a, b)
+        assert all(lines._within(a, b, k) == (d <= k) for k in (0, d - 1, d, d + 1, 100) if k >= 0)
+
+
 def test_replaced_words_leave_a_block():
     """Fewer replaced words than half of the blocks leave a key in common, if its blocks have two words or more."""
     r = random.Random(4)
@@ -184,8 +194,8 @@ def test_replaced_words_leave_a_block():
             a = [word() for _ in range(n)]
             b = list(a)
             for i in r.sample(range(n), max(1, n // 20) if n > 2 else 0):
-                b[i] = word()
-            keys, place, _ = lines.line_keys([a, b], np.empty(0, np.uint64), lines.WordHasher())
+                b[i] = b[i] + b"s" if n < 9 else word()
+            keys, place = lines.line_keys([a, b], np.empty(0, np.uint64), lines.WordHasher())
             assert set(keys[place == 0].tolist()) & set(keys[place == 1].tolist()), n
 
 
