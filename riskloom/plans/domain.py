@@ -243,7 +243,7 @@ def o02_content_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o06_link_discovery(spark: SparkSession, d: str) -> DataFrame:
-    return profile.overlap(table(spark, d, "lineitem"), "l_suppkey", table(spark, d, "supplier").where("s_suppkey <= 50"), "s_suppkey")
+    return profile.overlap(table(spark, d, "lineitem"), "l_suppkey", table(spark, d, "supplier"), "s_suppkey")
 
 
 def o10_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +314,7 @@ ORACLE = {
     "m01_name_lookup": "SELECT c_custkey, c_name FROM customer WHERE upper(c_name) IN ('SMALL RING', 'RED RING', 'CUSTOMER#000000007') ORDER BY c_custkey",
     "n05_case_status": "WITH l AS (SELECT user_id, event_type FROM events WHERE event_type IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT u.user_id, coalesce(CASE event_type WHEN 'signup' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' END, 'DRAFT') AS status FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l ON l.user_id = u.user_id",
     "o02_content_kinds": _kinds_sql(),
-    "o06_link_discovery": "SELECT count(s.s_suppkey)::DOUBLE / count(*) AS overlap FROM (SELECT DISTINCT l_suppkey FROM lineitem) l LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 50) s ON s.s_suppkey = l.l_suppkey",
+    "o06_link_discovery": "SELECT count(s.s_suppkey)::DOUBLE / count(*) AS overlap FROM (SELECT DISTINCT l_suppkey FROM lineitem) l LEFT JOIN (SELECT s_suppkey FROM supplier) s ON s.s_suppkey = l.l_suppkey",
     "o10_checks": "SELECT count(*) AS n, count(*) FILTER (page_id IS NULL) AS null_keys, count(*) - count(DISTINCT page_id) AS dup_keys, count(*) FILTER (NOT regexp_matches(url, '[0-9]')) AS not_parsed FROM pages",
 }
 

@@ -1,22 +1,16 @@
-"""Further operators on the driver's tables, operators that share a plan with another, and the bank end to end."""
+"""Further operators on the driver's tables, and the bank end to end."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import decode
-from riskloom.plans import domain, relational
 from riskloom.plans.canonical import STATUS, table, transactions
 
-#: operator -> (module, query it shares a plan with)
-SAME = {
-    "c10_range_self_join": (domain, "r03_near_threshold"), "c11_interval_join": (domain, "r04_rapid_in_out"), "c12_follow_up_join": (domain, "r05_woken"), "e01_keep_first_row": (relational, "b13_qualify"),
-    "a12_view": (domain, "k02_monthly"), "i05_evidence": (domain, "h09_jaro_winkler"), "n04_latest_decision": (domain, "n05_case_status"), "k05_question_top3": (domain, "k06_top_branches"), "b02_signals_union": (domain, "r09_signals"),
-}
-
 
 def j02_account(spark: SparkSession, d: str) -> DataFrame:
     """Accounts of both cores, repeated keys reduced to their first row, with their party."""
@@ -99,9 +93,15 @@ def _bank(spark: SparkSession) -> dict[str, DataFrame]:
     from riskloom.plans.bank import build
     from riskloom.sources.fixtures import generate
 
-    folder = tempfile.mkdtemp(prefix="riskloom-bank-")  # the generator's extracts, on the driver: a demonstration
-    generate(folder, people=60, duplicates=20)
-    return build(spark, f"file://{folder}")
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if not root.startswith("/"):
+        if root or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a mounted folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="riskloom-bank-")
+    folder = f"{root}/bank-{uuid.uuid4().hex}"
+    generate(f"{folder}/extracts", people=60, duplicates=20)
+    # relations that several others read are written once and read again
+    return build(spark, f"file://{folder}/extracts", store=f"file://{folder}/relations")
 
 
 def bank_alert_queue(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +131,8 @@ ORACLE = {
 
 
 def queries() -> dict:
-    same = {k: m.queries()[q] for k, (m, q) in SAME.items()}
-    return same | {k: globals()[k] for k in [*ORACLE, "bank_alert_queue", "bank_auto_links"]}
+    return {k: globals()[k] for k in [*ORACLE, "bank_alert_queue", "bank_auto_links"]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: m.oracle_sql()[q] for k, (m, q) in SAME.items()} | ORACLE
+    return dict(ORACLE)
