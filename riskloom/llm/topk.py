@@ -13,9 +13,14 @@ Pivots are chosen by farthest-first from at most SAMPLE vectors (smallest by a h
 vector is indexed, and the choice of pivots affects time only. Rings are made by a range-partitioned sort on
 (pivot, distance, id), so equal vectors, however many, are spread over rings of bounded size.
 
-Defined results: vectors that are null, empty or hold null, NaN or infinite components, or have another
-length than most (ties: the longer), or no vec_id, take no part; equal rows count once; an id with
-several vectors asks with each and gets the best over all, and never meets its own id; fewer candidates than k give fewer rows; an empty table gives no rows.
+The index holds the vectors of the most frequent length (ties: the longer) whose squared length is below LARGEST, so
+that all it computes is exact in doubles. The others, huge or of other lengths, are multiplied in blocks: their
+queries with all vectors of their length, and the other queries of that length with them.
+
+Defined results: vectors that are null, empty or hold null, NaN or infinite components (or such that 256 of them
+are infinite), or no vec_id, take no part; vectors meet those of their own length only; products beyond a long count
+as its largest or smallest value; equal rows count once; an id with several vectors asks with each and gets the best
+over all, and never meets its own id; fewer candidates than k give fewer rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +38,16 @@ PIVOTS = 32
 SAMPLE = 2_048
 RING = 1024
 GROUP = 512
+#: squared length from which on products may not be exact in doubles
+LARGEST = 2.0**50
 
 
 def scaled(vectors: DataFrame, factor: int = 256) -> DataFrame:
-    """vec_id and v (floor(factor * x), as long) of the vectors that take part."""
-    x = F.col("embedding").cast("array<double>")
+    """vec_id and v (floor(factor * x), whole numbers as double) of the vectors that take part."""
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda e: e * factor)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     ok = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & (F.size(x) > 0))
-    return ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * factor).cast("long")).alias("v"))
+    return ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.when(F.abs(e) < 2.0**53, F.floor(e).cast("double")).otherwise(e)).alias("v"))
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
@@ -81,19 +88,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[i
 _RING = "ring string, pivot int, dmin double, dmax double, low_id long, ids binary, data binary, queries binary, kth binary, kth_id binary"
 
 
-def index(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, np.ndarray, float, int] | None:
+def _square() -> Column:
+    return F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
+
+
+def index(vectors: DataFrame, every: int, k: int, dim: int) -> tuple[DataFrame, np.ndarray, float]:
     """Rings, and in each the queries (ids divisible by every) with their k-th best of the ring."""
     spark = vectors.sparkSession
-    vectors = stored(vectors.dropDuplicates(["vec_id", "v"]), "vectors")
-    dims = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    if not dims:
-        return None
-    dim = dims["d"]
-    vectors = vectors.where(F.size("v") == dim)
-    square: Column = F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e * e)
-    m = float(vectors.agg(F.max(square)).first()[0])
-    if m >= 2**52:
-        raise ValueError("components are too large for exact products in doubles")
+    m = float(vectors.agg(F.max(_square())).first()[0])
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows at most
     pivots = choose_pivots(np.array([r["v"] for r in sample], np.float64), m)
 
@@ -139,16 +141,88 @@ def index(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, np.ndarray
         if held:
             yield give(ring(part, nth, held))
 
-    return stored(dealt.mapInArrow(cut, _RING), "rings"), pivots, m, dim
+    return stored(dealt.mapInArrow(cut, _RING), "rings"), pivots, m
+
+
+def _in_blocks(vectors: DataFrame) -> DataFrame:
+    """Vectors of one length, RING at most, in a row: d, ids, data (doubles)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, ids, data = 0, [], []
+
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([b"".join(data)])], names=["d", "ids", "data"])
+
+        for b in batches:
+            for i, v in zip(column(b, "vec_id").to_pylist(), column(b, "v")):
+                if ids and (len(v) != d or len(ids) == RING):
+                    yield give()
+                    ids, data = [], []
+                d = len(v)
+                ids.append(i)
+                data.append(v.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+        if ids:
+            yield give()
+
+    dealt = vectors.repartition(shuffle_parts(vectors.sparkSession), F.xxhash64("vec_id", "v")).sortWithinPartitions(F.size("v"))
+    return dealt.mapInArrow(cut, "d int, ids binary, data binary")
+
+
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact inner products, brought into the range of a long."""
+    if np.abs(x).max() * np.abs(y).max() * x.shape[1] < 2.0**53:
+        return (x @ y.T).astype(np.int64)
+    whole = [[int(e) for e in row] for row in y.tolist()]
+    return np.array([[max(-(2**63), min(2**63 - 1, sum(a * e for a, e in zip(row, other)))) for other in whole] for row in ([int(e) for e in r] for r in x.tolist())], np.int64)
+
+
+def _plain(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block of vectors for each query of that length."""
+    asked = _in_blocks(queries).select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                d, ids, data, q_ids, q_data = (column(b, c)[i].as_py() for c in ("d", "ids", "data", "q_ids", "q_data"))
+                there, own = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
+                y, x = (np.frombuffer(a, "<f8").reshape(-1, d) for a in (data, q_data))
+                rows = [(q, v, s) for q, line in zip(own.tolist(), _products(x, y)) for s, v in _whole_best(line, there, q, k)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+
+    return _in_blocks(vectors).join(asked, "d").mapInArrow(multiply, "query_id long, vec_id long, score long")
+
+
+def _whole_best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """As _best, of whole numbers that may be the smallest long."""
+    order = [i for i in np.lexsort((ids, ~scores)).tolist() if ids[i] != own][:k]  # ~s falls as s grows
+    return [(int(scores[i]), int(ids[i])) for i in order]
 
 
 def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest products of each query (an id divisible by every) with other ids."""
+    vectors = stored(vectors.dropDuplicates(["vec_id", "v"]), "vectors")
+    small = _square() < LARGEST
+    dims = vectors.where(small).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    held = small & (F.size("v") == dims["d"]) if dims else F.lit(False)
+    found = _indexed(vectors.where(held), every, k, dims["d"]) if dims else None
+    rest = vectors.where(~held)
+    if not rest.isEmpty():
+        asks = F.col("vec_id") % every == 0
+        more = _plain(rest.where(asks), vectors, k).unionByName(_plain(vectors.where(held & asks), rest, k))
+        found = found.unionByName(more) if found is not None else more
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _indexed(vectors: DataFrame, every: int, k: int, dim: int) -> DataFrame:
+    """query_id, vec_id, score: from each ring that may matter, the best of each query, the k best of all among them."""
     spark = vectors.sparkSession
-    made = index(vectors, every, k)
-    if made is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rings, pivots, m, dim = made
+    rings, pivots, m = index(vectors, every, k, dim)
+    slack = 1e-3 + 1e-6 * m**0.5  # rounding of distances, which are roots of differences of squares up to m
     asking = rings.where(F.length("queries") > 0).select("pivot", "dmin", "ring", "ids", "data", "queries", "kth", "kth_id")
     asking = asking.repartitionByRange(shuffle_parts(spark), "pivot", "dmin", "ring").sortWithinPartitions("pivot", "dmin", "ring").withColumn("part", F.spark_partition_id())
 
@@ -183,7 +257,7 @@ def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
             for grp, data, kth in zip(*(column(b, c).to_pylist() for c in ("grp", "q_data", "q_kth"))):
                 x = np.frombuffer(data, "<i4").reshape(-1, dim).astype(np.float64)
                 d = _distances(x, np.zeros((len(x), 1)), pivots)
-                r = np.sqrt(np.maximum(0.0, (x * x).sum(1) + m - 2.0 * np.frombuffer(kth, "<i8"))) * (1 + 1e-9) + 1e-3
+                r = np.sqrt(np.maximum(0.0, (x * x).sum(1) + m - 2.0 * np.frombuffer(kth, "<i8"))) + slack
                 n = len(pivots)
                 yield pa.RecordBatch.from_arrays([pa.array([grp] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array((d - r[:, None]).min(0)), pa.array((d + r[:, None]).max(0))], names=["grp", "pv", "lo", "hi"])
 
@@ -200,8 +274,8 @@ def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
                 q = np.frombuffer(q_data, "<i4").reshape(-1, dim).astype(np.float64)
                 own, kth, kth_id = (np.frombuffer(a, "<i8") for a in (q_ids, q_kth, q_kth_id))
                 d = _distances(q, np.zeros((len(q), 1)), pivots[pivot : pivot + 1])[:, 0]
-                near = np.maximum(0.0, np.maximum(d - dmax, dmin - d) - 1e-6)
-                most = np.floor(((q * q).sum(1) + m - near * near) / 2 + 1e-3)
+                near = np.maximum(0.0, np.maximum(d - dmax, dmin - d) - 2 * slack)
+                most = np.floor(((q * q).sum(1) + m - near * near) / 2 + 1e-3 + 1e-12 * m)
                 use = np.flatnonzero((most > kth) | ((most == kth) & (low_id <= kth_id)))
                 if not len(use):
                     continue
@@ -212,7 +286,4 @@ def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
 
-    found = held.mapInArrow(multiply, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return held.mapInArrow(multiply, "query_id long, vec_id long, score long")

@@ -110,6 +110,28 @@ def test_top_k_small_and_empty(spark):
     assert sorted((x.rank, x.vec_id, x.score) for x in topk.search(topk.scaled(few), 50, 5).collect()) == [(1, 2, 65536), (2, 1, 0)]
 
 
+def test_topk_of_huge_vectors_and_other_lengths(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(40)]
+    rows += [(100 + i, [float(x) * 10.0 ** (4 + i) for x in r.normal(size=4)]) for i in range(10)]
+    rows += [(200 + i, [float(x) for x in r.normal(size=3)]) for i in range(8)] + [(300, [1e300, -1e300, 1e300, 0.0]), (310, [1e307] * 4), (320, [1.0])]
+    rows += [rows[0], (101, rows[3][1])]
+    out = sorted(tuple(x) for x in topk.search(topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), 10, 5).collect())
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if all(math.isfinite(256 * x) for x in v)]
+    want = []
+    for q in {i for i, _ in whole if i % 10 == 0}:
+        best = {}
+        for _, x in (w for w in whole if w[0] == q):
+            for i, y in whole:
+                if i != q and len(x) == len(y):
+                    s = max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y))))
+                    best[i] = max(best.get(i, s), s)
+        want += [(q, n, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5], 1)]
+    assert out == sorted(want)
+    only = spark.createDataFrame([(10, [1e200]), (11, [-1e200])], "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in topk.search(topk.scaled(only), 10, 5).collect()] == [(10, 1, 11, -(2**63))]
+
+
 def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
