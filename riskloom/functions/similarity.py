@@ -1,6 +1,6 @@
 """Jaro-Winkler similarity, the one string measure Spark lacks.
 
-Applied to distinct pairs of strings only (scored_pairs), in Arrow batches.
+Applied in Arrow batches, to distinct pairs of strings of a batch (scored_pairs).
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+MEMO = 200_000
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -38,16 +40,24 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def scored_pairs(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """pairs with an integer 0-100 similarity of columns a and b (0 if either is NULL). Distinct pairs are
-    scored once and joined back."""
+    """pairs with an integer 0-100 similarity of columns a and b (0 if either is NULL).
+
+    Rows pass in Arrow batches with the columns they came with: no shuffle, so neither many pairs nor a frequent
+    pair of names costs one. Of a batch, distinct pairs are scored once; up to MEMO scores are kept for the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple[str, str], int] = {}
         for batch in batches:
-            x, y = batch.column(0), batch.column(1)
-            got = [int(100 * jaro_winkler(p, q) + 0.5) for p, q in zip(x.to_pylist(), y.to_pylist())]
-            yield pa.RecordBatch.from_arrays([x, y, pa.array(got, pa.int32())], names=["_a", "_b", out])
-
-    keys = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").distinct()
-    scored = keys.mapInArrow(run, f"_a string, _b string, {out} int")
-    joined = pairs.join(scored, (pairs[a] == scored["_a"]) & (pairs[b] == scored["_b"]), "left").drop("_a", "_b")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0)))
+            got = []
+            for pair in zip(batch.column(batch.schema.get_field_index(a)).to_pylist(), batch.column(batch.schema.get_field_index(b)).to_pylist()):
+                score = memo.get(pair)
+                if score is None:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    x, y = pair
+                    score = memo[pair] = 0 if x is None or y is None else int(100 * jaro_winkler(x, y) + 0.5)
+                got.append(score)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], names=[*batch.schema.names, out])
+
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField(out, IntegerType(), False)]))

@@ -32,3 +32,13 @@ def last_day(txn: DataFrame):
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("at"), F.col("ts").cast("date").alias("day"), "event_type", F.col("value").cast("decimal(18,2)").alias("amount"))
+
+
+def block_pairs(a: DataFrame, b: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
+    """Pairs of a row of a and one of b with a larger key that agree in keys. A block's rows of a are dealt to
+    salts, so no task has a whole block's pairs; a merge join streams a and buffers one block of b."""
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * a.sparkSession.sparkContext.defaultParallelism)
+    dealt = a.withColumn("_s", F.pmod(F.xxhash64("p_partkey"), F.lit(salts)).cast("int")).repartition(parts, *keys, "_s")
+    every = b.select(*[F.col(c).alias("b_" + c) for c in b.columns], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("b__s")).repartition(parts, *["b_" + k for k in keys], "b__s")
+    same = [F.col(k) == F.col("b_" + k) for k in [*keys, "_s"]]
+    return dealt.hint("merge").join(every.hint("merge"), [*same, F.col("p_partkey") < F.col("b_p_partkey")])

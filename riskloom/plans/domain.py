@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.similarity import scored_pairs
 from riskloom.functions.text import decode, party_key, search_text
 from riskloom.operators import profile, risk, search
-from riskloom.plans.canonical import STATUS, TYPES, activity, last_day, table, transactions
+from riskloom.plans.canonical import STATUS, TYPES, activity, block_pairs, last_day, table, transactions
 
 _CASE = lambda col, d: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items()) + " END"
 _TXN = f"(SELECT o_orderkey AS txn_id, o_custkey AS party_id, CASE WHEN o_orderkey % 2 = 0 THEN 'core_a' ELSE 'core_b' END AS core, {_CASE('o_orderpriority', TYPES)} AS txn_type, {_CASE('o_orderstatus', STATUS)} AS status, CAST(o_orderdate AS DATE) AS posted_date, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderstatus = 'F' AS ctr_filed FROM orders)"
@@ -135,25 +137,80 @@ def h09_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     return scored_pairs(pairs, "a", "b", "jw")
 
 
-def _part_pairs(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type", "p_retailprice")
-    q = p.select(*[F.col(c).alias("b_" + c) for c in p.columns])
-    pairs = p.join(q, (F.col("p_brand") == F.col("b_p_brand")) & (F.col("p_size") == F.col("b_p_size")) & (F.col("p_partkey") < F.col("b_p_partkey")))
-    pairs = scored_pairs(pairs, "p_name", "b_p_name", "jw").withColumn("edits", F.levenshtein("p_name", "b_p_name"))
-    name, kind = (F.col("jw") >= 88) | (F.col("edits") <= 1), F.col("p_type") == F.col("b_p_type")
-    decision = F.when(name & kind, "AUTO_LINK").when(name, "REVIEW").otherwise("REJECT")
-    return pairs.withColumns({"score": F.when(name, 60).otherwise(0) + F.when(kind, 40).otherwise(0), "decision": decision, "reasons": F.concat_ws(";", F.when(name, "NAME"), F.when(kind, "TYPE"))})
+#: Names up to which every two are scored ahead and sent to all executors (its square of rows, at most).
+NAMES = 1000
+
+
+def _matched() -> Column:
+    return (F.col("jw") >= 88) | (F.col("edits") <= 1)
+
+
+def _scored_names(names: DataFrame) -> DataFrame:
+    """an, bn with their similarity and edit distance."""
+    return scored_pairs(names, "an", "bn", "jw").withColumn("edits", F.levenshtein("an", "bn"))
+
+
+def _similar(p: DataFrame) -> DataFrame:
+    """an, bn, jw of names that stand in one block and match, a name with itself included. Either order has its
+    own row: Jaro's greedy matching need not give one score for both."""
+    n = p.select("p_brand", "p_size", "p_name").distinct()
+    m = n.select(F.col("p_brand").alias("b_p_brand"), F.col("p_size").alias("b_p_size"), F.col("p_name").alias("bn"))
+    met = n.join(m, (F.col("p_brand") == F.col("b_p_brand")) & (F.col("p_size") == F.col("b_p_size")))
+    scored = _scored_names(met.select(F.col("p_name").alias("an"), "bn").distinct())
+    return scored.where(_matched()).select("an", "bn", "jw")
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that can be in a pair that matches: with a key, a brand, a size and a name."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
+    return p.dropna(subset=["p_partkey", "p_name", "p_brand", "p_size"])
+
+
+CLASS = ["p_brand", "p_size", "p_type", "p_name"]
+
+
+def _same_class(a: DataFrame, b: DataFrame, name: str) -> Column:
+    return functools.reduce(lambda x, y: x & y, [a[c] == b[c] for c in CLASS[:3]] + [a[name] == b["p_name"]])
 
 
 def i04_i09_match(spark: SparkSession, d: str) -> DataFrame:
-    return _part_pairs(spark, d).select(F.col("p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"), "jw", "edits", "score", "decision", "reasons")
+    """Every pair of a block with its similarity, score and decision.
+
+    The result is all pairs, so its size grows with the square of a block. The rows of a block are dealt to tasks;
+    names are scored once each two where they are few, else pair by pair, and no pair is shuffled.
+    """
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type").where("p_partkey IS NOT NULL")
+    pairs = block_pairs(p, p, ["p_brand", "p_size"])
+    names = p.select(F.col("p_name").alias("an")).where("an IS NOT NULL").distinct()
+    if len(names.limit(NAMES + 1).collect()) <= NAMES:
+        scored = F.broadcast(_scored_names(names.crossJoin(names.withColumnRenamed("an", "bn"))))
+        pairs = pairs.join(scored, (F.col("p_name") == F.col("an")) & (F.col("b_p_name") == F.col("bn")), "left")
+    else:
+        pairs = scored_pairs(pairs, "p_name", "b_p_name", "jw").withColumn("edits", F.levenshtein("p_name", "b_p_name"))
+        pairs = pairs.withColumn("jw", F.when(F.col("edits").isNotNull(), F.col("jw")))  # of a name that is null, null
+    name, kind = _matched(), F.col("p_type") == F.col("b_p_type")
+    return pairs.select(
+        F.col("p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"), "jw", "edits", (F.when(name, 60).otherwise(0) + F.when(kind, 40).otherwise(0)).alias("score"),
+        F.when(name & kind, "AUTO_LINK").when(name, "REVIEW").otherwise("REJECT").alias("decision"),
+        F.when(name & kind, "NAME;TYPE").when(name, "NAME").when(kind, "TYPE").otherwise("").alias("reasons"),
+    )
 
 
 def i10_mutual_best(spark: SparkSession, d: str) -> DataFrame:
-    auto = _part_pairs(spark, d).where("decision = 'AUTO_LINK'").select(F.col("p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"), "score", "jw")
-    a = Window.partitionBy("a_key").orderBy(F.desc("score"), F.desc("jw"), "b_key")
-    b = Window.partitionBy("b_key").orderBy(F.desc("score"), F.desc("jw"), "a_key")
-    return auto.withColumns({"ra": F.row_number().over(a), "rb": F.row_number().over(b)}).where("ra = 1 AND rb = 1").select("a_key", "b_key")
+    """Automatic links that are the best of both their keys; all have one score, so jw decides, then the smaller key.
+
+    A class holds the rows of one block, type and name. Of a class, the best for a larger key is always the one with
+    the smallest key, so a row is compared with one row of each class that matches its own, not with all its rows.
+    """
+    p = _parts(spark, d).dropna(subset=["p_type"])
+    least = p.groupBy(*CLASS).agg(F.min("p_partkey").alias("a_key")).select("a_key").distinct()
+    first = p.withColumnRenamed("p_partkey", "a_key").join(least, "a_key", "left_semi").distinct()
+    side = first.join(_similar(p), F.col("p_name") == F.col("an")).select("a_key", "p_brand", "p_size", "p_type", "bn", "jw")
+    rows = p.withColumnRenamed("p_partkey", "b_key")
+    met = side.join(rows, _same_class(side, rows, "bn") & (F.col("a_key") < F.col("b_key"))).select("a_key", "b_key", (-F.col("jw")).alias("worse"))
+    best_a = met.groupBy("b_key").agg(F.min(F.struct("worse", "a_key"))["a_key"].alias("a_key"))
+    best_b = met.groupBy("a_key").agg(F.min(F.struct("worse", "b_key"))["b_key"].alias("b_key"))
+    return best_b.join(best_a, ["a_key", "b_key"]).select("a_key", "b_key")
 
 
 def i11_party_key(spark: SparkSession, d: str) -> DataFrame:
@@ -161,10 +218,26 @@ def i11_party_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i12_review_queue(spark: SparkSession, d: str) -> DataFrame:
-    p = _part_pairs(spark, d)
-    auto = p.where("decision = 'AUTO_LINK'")
-    open_ = p.where("decision = 'REVIEW'").select(F.col("p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"), "score")
-    return open_.join(auto.select(F.col("p_partkey").alias("a_key")), "a_key", "left_anti").join(auto.select(F.col("b_p_partkey").alias("b_key")), "b_key", "left_anti")
+    """Pairs to review of which the one key is no automatic link's first and the other none's second.
+
+    A key is some link's first if a class that matches its own holds a larger key, so classes tell by their largest
+    and smallest keys which rows are open, before any two rows are joined.
+    """
+    p, similar = _parts(spark, d), _similar(_parts(spark, d))
+    ends = p.dropna(subset=["p_type"]).groupBy(*CLASS).agg(F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
+    block = ["p_brand", "p_size", "p_type"]
+
+    def open_rows(mine: str, other: str, bound: Column, linked: Column) -> DataFrame:
+        met = ends.join(similar, F.col("p_name") == F.col(other)).groupBy(*block, F.col(mine).alias("p_name")).agg(bound.alias("bound"))
+        marked = p.join(met, CLASS, "left").withColumn("linked", F.coalesce(linked, F.lit(False)))
+        return marked.where(~F.col("linked")).join(marked.where("linked").select("p_partkey"), "p_partkey", "left_anti").drop("bound", "linked")
+
+    a = open_rows("an", "bn", F.max("high"), F.col("p_partkey") < F.col("bound")).join(similar, F.col("p_name") == F.col("an")).drop("p_name")
+    b = open_rows("bn", "an", F.min("low"), F.col("p_partkey") > F.col("bound"))
+    b = b.select(*[F.col(c).alias("b_" + c) for c in b.columns])
+    met = (F.col("p_brand") == F.col("b_p_brand")) & (F.col("p_size") == F.col("b_p_size")) & (F.col("bn") == F.col("b_p_name")) & (F.col("p_partkey") < F.col("b_p_partkey"))
+    pairs = a.join(b, met & ~F.coalesce(F.col("p_type") == F.col("b_p_type"), F.lit(False)))
+    return pairs.select(F.col("p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"), F.lit(60).alias("score"))
 
 
 def i13_dq_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -177,12 +250,42 @@ def i13_dq_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(row(low, "DQ_NEGATIVE_BALANCE", "WARNING", "c_custkey", F.col("c_acctbal").cast("decimal(18,2)")))
 
 
+def _inner_pairs(p: DataFrame, keys: list[str]) -> DataFrame:
+    """v: pairs of rows of one group with different p_partkey."""
+    per = p.groupBy(*keys, "p_partkey").agg(F.count("*").alias("m"))
+    n = per.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(F.expr("m * (m - 1) div 2")).alias("same"))
+    return n.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2 - same")), F.lit(0)).alias("v"))
+
+
 def i14_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Links found against a truth table: pairs of one name and type."""
-    p = _part_pairs(spark, d)
-    truth = F.col("p_name") == F.col("b_p_name")
-    auto = F.col("decision") == "AUTO_LINK"
-    return p.agg(F.count_if(truth).alias("true_pairs"), F.count_if(auto).alias("linked"), F.count_if(auto & truth).alias("correct"), F.count_if((F.col("decision") == "REVIEW") & truth).alias("in_review"))
+    """Links found against a truth table: pairs of one name and type.
+
+    Pairs are counted by the sizes of classes (the rows of one block, type and name), less pairs of equal keys; only
+    where two names match in one order alone are rows joined.
+    """
+    p = _parts(spark, d)
+    typed, similar = p.dropna(subset=["p_type"]), _similar(p).where("an <> bn")
+    back = similar.select(F.col("bn").alias("an"), F.col("an").alias("bn"), F.lit(True).alias("both"))
+    similar = similar.join(back, ["an", "bn"], "left")
+    both, one = similar.where("both AND an < bn").select("an", "bn"), similar.where("both IS NULL").select("an", "bn")
+
+    def across(left: DataFrame, right: DataFrame, names: DataFrame, value: Column, met: Column | None = None) -> DataFrame:
+        """v: the sum of a value over what joins of two classes with names that match."""
+        a = left.select(*[F.col(c).alias("a_" + c) for c in left.columns]).join(names, F.col("a_p_name") == F.col("an"))
+        b = right.select(*[F.col(c).alias("b_" + c) for c in right.columns])
+        on = functools.reduce(lambda x, y: x & y, [F.col("a_" + c) == F.col("b_" + c) for c in CLASS[:3]], F.col("bn") == F.col("b_p_name"))
+        return a.join(b, on if met is None else on & met).agg(F.coalesce(F.sum(value), F.lit(0)).alias("v"))
+
+    sizes = typed.groupBy(*CLASS).agg(F.count("*").alias("n"))
+    keyed = typed.groupBy(*CLASS, "p_partkey").agg(F.count("*").alias("m"))
+    shared = keyed.join(keyed.groupBy("p_partkey").count().where("count > 1").select("p_partkey"), "p_partkey", "left_semi")
+    all_ = across(sizes, sizes, both, F.col("a_n") * F.col("b_n"))
+    equal = across(shared, shared, both, F.col("a_m") * F.col("b_m"), F.col("a_p_partkey") == F.col("b_p_partkey"))
+    ordered = across(typed, typed, one, F.lit(1), F.col("a_p_partkey") < F.col("b_p_partkey"))
+    parts = {"true_pairs": _inner_pairs(p, ["p_brand", "p_size", "p_name"]), "correct": _inner_pairs(typed, CLASS), "all_": all_, "equal": equal, "ordered": ordered}
+    counts = functools.reduce(DataFrame.crossJoin, [v.withColumnRenamed("v", k) for k, v in parts.items()])  # one row each
+    linked = F.col("correct") + F.col("all_") - F.col("equal") + F.col("ordered")
+    return counts.select("true_pairs", linked.alias("linked"), "correct", (F.col("true_pairs") - F.col("correct")).alias("in_review"))
 
 
 def i15_reconciliation(spark: SparkSession, d: str) -> DataFrame:

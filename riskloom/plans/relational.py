@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import full_match, reason_codes
-from riskloom.plans.canonical import table
+from riskloom.plans.canonical import block_pairs, table
 
 SQL = {
     "b01_projection": "SELECT c_custkey, c_name, 'core_a' AS core, c_acctbal * 2 AS double_bal FROM {customer}",
@@ -112,16 +112,6 @@ def c09_parameter_literal(spark: SparkSession, d: str) -> DataFrame:
     return o.where(F.col("o_totalprice") > top * 0.9).select("o_orderkey", "o_totalprice")
 
 
-def _block_pairs(a: DataFrame, b: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
-    """Pairs of a row of a and one of b with a larger key that agree in keys. A block's rows of a are dealt to
-    salts, so no task has a whole block's pairs; a merge join streams a and buffers one block of b."""
-    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * a.sparkSession.sparkContext.defaultParallelism)
-    dealt = a.withColumn("_s", F.pmod(F.xxhash64("p_partkey"), F.lit(salts)).cast("int")).repartition(parts, *keys, "_s")
-    every = b.select(*[F.col(c).alias("b_" + c) for c in b.columns], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("b__s")).repartition(parts, *["b_" + k for k in keys], "b__s")
-    same = [F.col(k) == F.col("b_" + k) for k in [*keys, "_s"]]
-    return dealt.hint("merge").join(every.hint("merge"), [*same, F.col("p_partkey") < F.col("b_p_partkey")])
-
-
 def c14_union_of_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs that share one of several blocking keys.
 
@@ -133,8 +123,8 @@ def c14_union_of_blocks(spark: SparkSession, d: str) -> DataFrame:
     once, again = p.join(twice, "p_partkey", "left_anti"), p.join(twice, "p_partkey", "left_semi")
 
     def blocks(a: DataFrame, b: DataFrame) -> DataFrame:
-        first = _block_pairs(a, b, ["p_brand", "p_size"])
-        second = _block_pairs(a, b, ["p_type", "p_size"]).where(~F.coalesce(F.col("p_brand") == F.col("b_p_brand"), F.lit(False)))
+        first = block_pairs(a, b, ["p_brand", "p_size"])
+        second = block_pairs(a, b, ["p_type", "p_size"]).where(~F.coalesce(F.col("p_brand") == F.col("b_p_brand"), F.lit(False)))
         return first.unionByName(second).select(F.col("p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"))
 
     return blocks(once, once).unionByName(blocks(again, p).unionByName(blocks(once, again)).distinct())
