@@ -180,13 +180,16 @@ def i04_i09_match(spark: SparkSession, d: str) -> DataFrame:
     names are scored once each two where they are few, else pair by pair, and no pair is shuffled.
     """
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type").where("p_partkey IS NOT NULL")
-    pairs = block_pairs(p, p, ["p_brand", "p_size"])
-    names = p.select(F.col("p_name").alias("an")).where("an IS NOT NULL").distinct()
-    if len(names.limit(NAMES + 1).collect()) <= NAMES:
-        scored = F.broadcast(_scored_names(names.crossJoin(names.withColumnRenamed("an", "bn"))))
-        pairs = pairs.join(scored, (F.col("p_name") == F.col("an")) & (F.col("b_p_name") == F.col("bn")), "left")
+    names = [r[0] for r in p.where("p_name IS NOT NULL").select("p_name").distinct().limit(NAMES + 1).collect()]
+    if len(names) <= NAMES:
+        # whole numbers for names: a lookup by one long for each pair, in place of two strings
+        ids = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+        rows = p.join(F.broadcast(ids), F.col("p_name") == F.col("name"), "left").select("p_partkey", "p_brand", "p_size", "p_type", "id")
+        scored = _scored_names(ids.toDF("ai", "an").crossJoin(ids.toDF("bi", "bn")).repartition(8)).select((F.col("ai") * NAMES + F.col("bi")).alias("two"), "jw", "edits")
+        pairs = block_pairs(rows, rows, ["p_brand", "p_size"])
+        pairs = pairs.join(F.broadcast(scored), F.col("id") * NAMES + F.col("b_id") == F.col("two"), "left")
     else:
-        pairs = scored_pairs(pairs, "p_name", "b_p_name", "jw").withColumn("edits", F.levenshtein("p_name", "b_p_name"))
+        pairs = scored_pairs(block_pairs(p, p, ["p_brand", "p_size"]), "p_name", "b_p_name", "jw").withColumn("edits", F.levenshtein("p_name", "b_p_name"))
         pairs = pairs.withColumn("jw", F.when(F.col("edits").isNotNull(), F.col("jw")))  # of a name that is null, null
     name, kind = _matched(), F.col("p_type") == F.col("b_p_type")
     return pairs.select(
