@@ -51,19 +51,26 @@ def near_threshold(txn: DataFrame, low: float, high: float, days: int, least: in
     return best.select("party_id", "w.n", "w.total", F.col("w.start").alias("win_start"))
 
 
-def rapid_in_out(ins: DataFrame, outs: DataFrame, hours: int, share: float) -> DataFrame:
+def _second(c: Column, kind: str) -> Column:
+    """Whole seconds of a time. One without a zone is read by its fields, so no session's zone moves it."""
+    if kind != "timestamp_ntz":
+        return F.unix_timestamp(c.cast("timestamp"))
+    return F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+def rapid_in_out(ins: DataFrame, outs: DataFrame, hours: int, share: float, by: Sequence[str] = ("account_id", "txn_id", "at", "amount")) -> DataFrame:
     """Inflows of which at least `share` leaves the same account within 1 second to `hours` hours.
 
-    ins: account_id, txn_id, at, amount; outs: account_id, at, amount. The interval join has an equi-key on the
-    account and the time slot (the inflow's and the next), so partitions stay small for busy accounts.
+    ins: account_id, txn_id, at, amount; outs: account_id, at, amount; rows of ins that agree in `by` are one inflow
+    (amount must be among them). The interval join has an equi-key on the account and the time slot (the inflow's
+    and the next), so partitions stay small for busy accounts.
     """
     span = hours * 3600
-    slot = F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / span)
-    i = ins.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    o = outs.select(F.col("account_id").alias("_acc"), F.col("at").alias("_at"), F.col("amount").alias("_amt"), slot.alias("_s"))
-    gap = F.unix_timestamp(F.col("_at").cast("timestamp")) - F.unix_timestamp(F.col("at").cast("timestamp"))
-    met = i.join(o, (F.col("account_id") == F.col("_acc")) & (F.col("_slot") == F.col("_s"))).where(gap.between(1, span))
-    per = met.groupBy("account_id", "txn_id", "at", "amount").agg(F.sum("_amt").cast(MONEY).alias("out_total"), F.count("*").alias("n_out"))
+    second = lambda df: _second(F.col("at"), df.schema["at"].dataType.simpleString())
+    i = ins.withColumn("_sec", second(ins)).withColumn("_slot", F.explode(F.array(F.floor(F.col("_sec") / span), F.floor(F.col("_sec") / span) + 1)))
+    o = outs.select(F.col("account_id").alias("_acc"), F.col("amount").alias("_amt"), second(outs).alias("_out")).withColumn("_s", F.floor(F.col("_out") / span))
+    met = i.join(o, (i["account_id"] == o["_acc"]) & (F.col("_slot") == F.col("_s"))).where((F.col("_out") - F.col("_sec")).between(1, span))
+    per = met.groupBy(*by).agg(F.sum("_amt").cast(MONEY).alias("out_total"), F.count("*").alias("n_out"))
     return per.where(F.col("out_total") >= F.col("amount") * F.lit(share).cast("decimal(10,4)"))
 
 

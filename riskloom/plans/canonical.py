@@ -31,7 +31,7 @@ def last_day(txn: DataFrame):
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("at"), F.col("ts").cast("date").alias("day"), "event_type", F.col("value").cast("decimal(18,2)").alias("amount"))
+    return e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("at"), F.col("ts").cast("date").alias("day"), "event_type", F.col("value").cast("decimal(18,2)").alias("amount"), "value")
 
 
 def block_pairs(a: DataFrame, b: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:

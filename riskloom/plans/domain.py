@@ -49,9 +49,10 @@ def r03_near_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 def r04_rapid_in_out(spark: SparkSession, d: str) -> DataFrame:
     e = activity(spark, d)
-    ins = e.where("event_type = 'purchase' AND amount >= 100").select("account_id", "txn_id", "at", "amount")
+    ins = e.where("event_type = 'purchase' AND amount >= 100").select("account_id", "txn_id", "at", "amount", "value")
     outs = e.where("event_type IN ('click', 'error')").select("account_id", "at", "amount")
-    return risk.rapid_in_out(ins, outs, 48, 0.9).select("account_id", "txn_id", "amount", "out_total", "n_out")
+    # an id may stand at several times: the SQL's groups are those of account, id and value
+    return risk.rapid_in_out(ins, outs, 48, 0.9, by=["account_id", "txn_id", "value", "amount"]).select("account_id", "txn_id", "amount", "out_total", "n_out")
 
 
 def r05_woken(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cases of the third round: repeated keys, large groups of equal rows, ids that stand at several times."""
 
 import sys
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -78,3 +79,11 @@ def test_similarity_passes_rows_through(spark):
     out = scored_pairs(rows, "a", "b", "jw")
     assert [(r.n, r.jw) for r in out.orderBy("n").collect()] == [(1, 96), (2, 0), (3, 96)]
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_inflow_whose_id_stands_at_several_times(spark, tmp_path):
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    rows = [(1, at(0), 7, "purchase", 100.0), (1, at(30), 7, "purchase", 100.0), (1, at(40), 7, "purchase", 120.0), (2, at(60), 7, "click", 50.0), (3, at(90), 8, "click", 500.0)]
+    events = spark.createDataFrame([(*r, "{}") for r in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    _, want = against_sql(spark, tmp_path, "r04_rapid_in_out", events=events)
+    assert len(want) == 1  # 50 twice is enough for 100 taken together, for neither alone
