@@ -50,8 +50,14 @@ def street_name(c: Column) -> Column:
 
 
 def search_text(c: Column) -> Column:
-    """Lower case, runs of anything but letters, digits and $ to a space, and a space at both ends."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9$]+", " ")), F.lit(" "))
+    """Lower case, runs of anything but letters, digits and $ to a space, and a space at both ends.
+
+    Of letters that aren't A-Z only two have a small letter in a-z; the others become spaces in any case. A single
+    space between words is no match, so most words cost the pattern nothing.
+    """
+    up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lower = F.translate(c, up + "\u212a\u0130", up.lower() + "ki")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, "[^a-z0-9$ ][^a-z0-9$]*| [^a-z0-9$]+", " ")), F.lit(" "))
 
 
 def reason_codes(pairs: list[tuple[Column, str]], sep: str = ";") -> Column:

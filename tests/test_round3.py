@@ -5,6 +5,9 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import search
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
@@ -87,3 +90,14 @@ def test_inflow_whose_id_stands_at_several_times(spark, tmp_path):
     events = spark.createDataFrame([(*r, "{}") for r in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     _, want = against_sql(spark, tmp_path, "r04_rapid_in_out", events=events)
     assert len(want) == 1  # 50 twice is enough for 100 taken together, for neither alone
+
+
+def test_search_reads_a_text_once(spark, tmp_path):
+    texts = ["The license, UND the \u212aey", "\u0130st\u00e4nbul -- the  end", None, "", "  und\n\tund $5 ", "nothing", "\u00c4the\u00d6und", "the " * 30]
+    docs = spark.createDataFrame([(i, x, "en" if i % 2 else "de") for i, x in enumerate(texts * 3)], "doc_id long, text string, lang string")
+    for name in ("l06_bm25", "l07_filtered_bm25", "l01_search_text"):
+        df, _ = against_sql(spark, tmp_path / name, name, documents=docs)
+    df = search.bm25(spark.read.parquet(f"{tmp_path}/l06_bm25/documents.parquet"), ["the", "und"], 5, keep=F.col("lang") == "en")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("regexp_replace") == 1
