@@ -5,10 +5,13 @@ one counts documents that the labels call good. A document's score is the mean,
 log p_trusted(bin) - log p_raw(bin). The threshold is the score that all but a share TAIL of other labelled
 good documents reach, which the trusted counts don't hold, and every document is held against it.
 
-DataFrame functions only. Counting is one pass with a map-side sum into BUCKETS bins; scoring is one narrow
-pass without a shuffle: the ratios, BUCKETS doubles, are a literal in the plan. Of the corpus, the driver
-sees BUCKETS pairs of counts. The trusted documents are at most SAMPLE labelled rows, the smallest by a hash
-of their id, so the set that is broadcast has a proven bound.
+All labelled good documents take part: of each ten ids by hash, four set the threshold and six are counted.
+
+DataFrame functions only. Counting is a pass with a map-side sum into BUCKETS bins over all documents, and one over
+the trusted; scoring is one narrow pass without a shuffle: the ratios, BUCKETS doubles, are a literal in the plan. Of
+the corpus, the driver sees BUCKETS pairs of counts. Trusted ids are found by a bit set of at most 2^FILTER bits, which
+loses none, and then by an equi-join that shuffles only the texts that pass it. Scores that set the threshold are
+stored, and TAIL of them sorted.
 
 Defined results: null and empty texts have no words and fail the base rule; words are split at
 [\\x20\\x09-\\x0D] only; repeated rows are judged each, alike; without trusted rows the ratio is 0 everywhere
@@ -24,8 +27,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import drop_stored, stored
+
 BUCKETS = 10_000
-SAMPLE = 20_000
+FILTER = 24
 TAIL = 0.001
 WINDOW = 8
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
@@ -71,23 +76,38 @@ def repeated_words(n_words: Column, pair: str, window: int = WINDOW) -> list[tup
     ]
 
 
-def trusted_ids(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """At most limit ids that are labelled good and not toxic."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids that are labelled good and not toxic."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select(F.col("doc_id").cast("long").alias("_ql_id")).distinct().orderBy(F.xxhash64("_ql_id"), "_ql_id").limit(limit)
+    return good.select(F.col("doc_id").cast("long").alias("_ql_id")).distinct()
+
+
+def _chosen(docs: DataFrame, ids: DataFrame, most: int = FILTER) -> DataFrame:
+    """_ql_id and text of the documents whose id is in ids: a bit set rules most others out before the join."""
+    bits = min(most, max(6, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("_ql_id"), F.lit(1 << bits))
+    bit = F.pmod(at, F.lit(64)).cast("int")
+    words = ids.groupBy(F.shiftright(at, 6).alias("_ql_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_ql_b"))
+    own = docs.select(F.col("doc_id").cast("long").alias("_ql_id"), "text").where("_ql_id IS NOT NULL").withColumn("_ql_at", at)
+    own = own.join(F.broadcast(words), F.shiftright("_ql_at", 6) == F.col("_ql_w")).where(F.getbit("_ql_b", F.pmod("_ql_at", F.lit(64)).cast("int")) == 1)
+    return own.select("_ql_id", "text").join(ids, "_ql_id", "left_semi")
+
+
+def _bins(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Features of the documents by bin."""
+    bins = with_features(docs).select(F.explode(F.concat("_ql_hash", "_ql_pair")).alias("h"))
+    out = np.zeros(buckets)
+    for r in bins.groupBy(F.pmod("h", F.lit(buckets)).alias("bin")).agg(F.count("*").alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """The log ratio of each bin; raw counts are of all documents."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("_ql_id"), "text").join(F.broadcast(trusted.withColumn("_ql_good", F.lit(1))), "_ql_id", "left")
-    bins = F.explode(F.concat("_ql_hash", "_ql_pair"))
-    counts = with_features(marked).select(F.coalesce("_ql_good", F.lit(0)).cast("long").alias("good"), bins.alias("h"))
-    counts = counts.groupBy(F.pmod("h", F.lit(buckets)).alias("bin")).agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = np.zeros(buckets), np.zeros(buckets)
-    for r in counts:
-        raw[r["bin"]], good[r["bin"]] = r["raw"], r["good"]
+    good = _bins(_chosen(docs, trusted), buckets)
     if not good.sum():
         return [0.0] * buckets
+    raw = _bins(docs.select("text"), buckets)
     return [math.log(g + 1) - math.log(good.sum() + buckets) - math.log(r + 1) + math.log(raw.sum() + buckets) for g, r in zip(good, raw)]
 
 
@@ -109,9 +129,11 @@ def judge(docs: DataFrame, labels: DataFrame, name: str = "quality", buckets: in
     ratios = fit(docs, trusted.where(~held_out), buckets)
     threshold = None
     if any(ratios):
-        some = docs.select(F.col("doc_id").cast("long").alias("_ql_id"), "text").join(F.broadcast(trusted.where(held_out)), "_ql_id", "left_semi")
-        some = scored(with_features(some), ratios).where(F.size("_ql_words") >= 20)
-        threshold = some.agg(F.expr(f"percentile_disc({TAIL}) WITHIN GROUP (ORDER BY _ql_score)").alias("t")).first()["t"]
+        some = scored(with_features(_chosen(docs, trusted.where(held_out))), ratios).where(F.size("_ql_words") >= 20)
+        some = stored(some.select("_ql_score"), "quality-scores")
+        lowest = math.ceil(TAIL * some.count())  # percentile_disc
+        threshold = some.orderBy("_ql_score").limit(lowest).agg(F.max("_ql_score")).first()[0] if lowest else None
+        drop_stored(some)
     df = scored(with_features(docs), ratios)
     for k, c in repeated_words(F.size("_ql_words"), "_ql_pair"):
         df = df.withColumn(k, c)
