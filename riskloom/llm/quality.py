@@ -9,9 +9,10 @@ All labelled good documents take part: of each ten ids by hash, four set the thr
 
 DataFrame functions only. Counting is a pass with a map-side sum into BUCKETS bins over all documents, and one over
 the trusted; scoring is one narrow pass without a shuffle: the ratios, BUCKETS doubles, are a literal in the plan. Of
-the corpus, the driver sees BUCKETS pairs of counts. Trusted ids are found by a bit set of at most 2^FILTER bits, which
-loses none, and then by an equi-join that shuffles only the texts that pass it. Scores that set the threshold are
-stored, and TAIL of them sorted.
+the corpus, the driver sees BUCKETS pairs of counts. Trusted ids are looked up in an exact broadcast bit set of 64 ids a word, without a shuffle, where it has
+WORDS words at most (ids next to one another need one for 64); else a bit set of at most 2^FILTER bits, which loses
+none, is followed by an equi-join that shuffles the texts that pass it. Scores that set the threshold are stored, and
+TAIL of them sorted.
 
 Defined results: null and empty texts have no words and fail the base rule; words are split at
 [\\x20\\x09-\\x0D] only; repeated rows are judged each, alike; without trusted rows the ratio is 0 everywhere
@@ -31,6 +32,7 @@ from riskloom.llm.common import drop_stored, stored
 
 BUCKETS = 10_000
 FILTER = 24
+WORDS = 1 << 20
 TAIL = 0.001
 WINDOW = 8
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
@@ -82,15 +84,23 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select(F.col("doc_id").cast("long").alias("_ql_id")).distinct()
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, most: int = FILTER) -> DataFrame:
-    """_ql_id and text of the documents whose id is in ids: a bit set rules most others out before the join."""
-    bits = min(most, max(6, (16 * ids.count()).bit_length()))
-    at = F.pmod(F.xxhash64("_ql_id"), F.lit(1 << bits))
-    bit = F.pmod(at, F.lit(64)).cast("int")
-    words = ids.groupBy(F.shiftright(at, 6).alias("_ql_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_ql_b"))
-    own = docs.select(F.col("doc_id").cast("long").alias("_ql_id"), "text").where("_ql_id IS NOT NULL").withColumn("_ql_at", at)
-    own = own.join(F.broadcast(words), F.shiftright("_ql_at", 6) == F.col("_ql_w")).where(F.getbit("_ql_b", F.pmod("_ql_at", F.lit(64)).cast("int")) == 1)
-    return own.select("_ql_id", "text").join(ids, "_ql_id", "left_semi")
+def _chosen(docs: DataFrame, ids: DataFrame, most: int = FILTER, words: int = WORDS) -> DataFrame:
+    """_ql_id and text of the documents whose id is in ids: by an exact bit set of at most so many words; with more, a
+    bit set of hashes rules most others out before a join."""
+    own = docs.select(F.col("doc_id").cast("long").alias("_ql_id"), "text").where("_ql_id IS NOT NULL")
+
+    def bits(at: Column) -> DataFrame:
+        bit = F.pmod(at, F.lit(64)).cast("int")
+        return ids.groupBy(F.shiftright(at, 6).alias("_ql_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_ql_b"))
+
+    def looked_up(at: Column) -> DataFrame:
+        held = own.withColumn("_ql_at", at).join(F.broadcast(bits(at)), F.shiftright("_ql_at", 6) == F.col("_ql_w"))
+        return held.where(F.getbit("_ql_b", F.pmod("_ql_at", F.lit(64)).cast("int")) == 1).select("_ql_id", "text")
+
+    if bits(F.col("_ql_id")).count() <= words:
+        return looked_up(F.col("_ql_id"))
+    size = min(most, max(6, (16 * ids.count()).bit_length()))
+    return looked_up(F.pmod(F.xxhash64("_ql_id"), F.lit(1 << size))).join(ids, "_ql_id", "left_semi")
 
 
 def _bins(docs: DataFrame, buckets: int) -> np.ndarray:

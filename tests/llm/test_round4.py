@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from riskloom.llm import lines
+from riskloom.llm import lines, quality
 
 
 def edit(a, b):
@@ -68,3 +70,25 @@ def test_distances_taken_together():
     for share in (0, 10, 20, 100):
         most = [share * max(len(a), len(b)) // 100 for a, b in zip(xs, ys)]
         assert lines.within(xs, ys, most).tolist() == [edit(a, b) <= m for a, b, m in zip(xs, ys, most)]
+
+
+@pytest.mark.parametrize("words", [quality.WORDS, 0])
+def test_chosen_documents(spark, words):
+    """op6_quality_rules: documents with the ids, whatever these are, and no others."""
+    ids = [0, 1, 63, 64, -1, -64, -65, 2**63 - 1, -(2**63), 12345678901]
+    rows = [(i, f"t{i}") for i in [*ids, 2, 62, 65, -2, -63, 2**63 - 2, 5, 5]] + [(1, "again"), (None, "none"), (0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality._chosen(docs, spark.createDataFrame([(i,) for i in ids], "_ql_id long"), words=words).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in docs.where(F.col("doc_id").isin(ids)).withColumnRenamed("doc_id", "_ql_id").collect())
+
+
+def test_trusted_ids_move_no_texts(spark):
+    """op6_quality_rules: texts of trusted documents aren't shuffled, whatever the size at which joins broadcast."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('a b ', 50) AS text")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        chosen = quality._chosen(docs, spark.range(0, 3000, 2).selectExpr("id AS _ql_id"))
+        assert chosen.count() == 1500 and "SortMergeJoin" not in chosen._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
