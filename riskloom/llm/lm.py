@@ -142,6 +142,11 @@ def small(a: np.ndarray) -> bytes:
     return bytes([kind]) + a.astype(f"<u{kind}").tobytes()
 
 
+def fitted(a: np.ndarray) -> np.ndarray:
+    """Integers from 0 on in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
 def unsmall(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
@@ -319,7 +324,7 @@ def _reduce(rows: DataFrame, folder: str, level: int, parts: int) -> list:
         def close(shard: int, held: list) -> pa.RecordBatch:
             ctx, word, n = counted(*(np.concatenate([h[j] for h in held]) for j in range(3)))
             path = f"{folder}/raw-{level}-{shard}-{uuid.uuid4().hex}"
-            write_arrays(path, {"hash": ctx, "count": n} if level == 1 else {"ctx": ctx, "word": word.astype(np.uint32 if len(word) and word.max() < 1 << 32 else np.int64), "count": n.astype(np.uint32 if n.max() < 1 << 32 else np.int64)})
+            write_arrays(path, {"hash": ctx, "count": n} if level == 1 else {"ctx": fitted(ctx), "word": fitted(word), "count": fitted(n)})
             total = int(n.sum())
             ends = np.cumsum(n)
             target = total * np.arange(1, FAN) / FAN
@@ -444,7 +449,7 @@ def _finish(spark, model: Model, k: int, rows: list, parts: int) -> None:
         for b in batches:
             for shard, path in zip(column(b, "shard").to_pylist(), column(b, "path").to_pylist()):
                 raw = open_arrays(path)
-                ctx, word, n = raw["ctx"], raw["word"].astype(np.int64), raw["count"].astype(np.float64)
+                ctx, word, n = raw["ctx"].astype(np.int64), raw["word"].astype(np.int64), raw["count"].astype(np.float64)
                 start, many = runs(ctx)
                 own = ctx[start]
                 total = reader.counts(k - 1, own).astype(np.float64)
