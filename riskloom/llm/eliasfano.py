@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
 #: place of the r-th set bit of a byte
 _SELECT8 = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -56,15 +57,14 @@ class Sequence:
 
     @staticmethod
     def _select(bits: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Place of the rest-th set bit of each word, by halves."""
-        place = np.zeros(len(bits), np.int64)
-        for width in (32, 16, 8):
-            n = np.bitwise_count(bits & _U((1 << width) - 1)).astype(np.int64)
-            go = rest >= n
-            rest = rest - n * go
-            bits = bits >> (_U(width) * go)
-            place += width * go
-        return place + _SELECT8[(bits & _U(255)).astype(np.int64), rest]
+        """Place of the rest-th set bit of each word: sums of the bytes before tell its byte, a table the rest."""
+        sums = bits - (bits >> _U(1) & _U(0x5555555555555555))
+        sums = (sums & _U(0x3333333333333333)) + (sums >> _U(2) & _U(0x3333333333333333))
+        sums = (sums + (sums >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+        rest = rest.astype(_U)
+        byte = np.bitwise_count((rest * _ONES | _TOPS) - sums & _TOPS).astype(_U) << _U(3)
+        rest -= (sums << _U(8)) >> byte & _U(255)
+        return (byte + _SELECT8[bits >> byte & _U(255), rest]).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
@@ -73,15 +73,26 @@ class Sequence:
         high = (word << 6) + self._select(self.high[word], i - self.before[word]) - i
         return high.astype(_U) << _U(self.low) | self._low(i)
 
-    def _below(self, high: np.ndarray) -> np.ndarray:
-        """Number of values with a smaller high part: the place of the (high - 1)-th unset bit tells it."""
-        zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
+    def _below(self, high: np.ndarray, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of values with a smaller high part, and that place in high: the (high - 1)-th unset bit tells it.
+        zeros: unset bits before each word."""
         nth = np.maximum(high - 1, 0)
         word = np.searchsorted(zeros, nth, "right") - 1
         past = word >= len(self.high)
         word = np.minimum(word, len(self.high) - 1)
         place = (word << 6) + self._select(~self.high[word], np.where(past, 0, nth - zeros[word]))
-        return np.where(high <= 0, 0, np.where(past, self.n, place - high + 1))
+        return np.where(high <= 0, 0, np.where(past, self.n, place - high + 1)), np.where(high <= 0, -1, np.where(past, len(self.high) << 6, place))
+
+    def _group(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From where on and up to where values have that high part: they are a run of set bits."""
+        zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
+        start, place = self._below(high, zeros)
+        word = (place + 1) >> 6
+        rest = ~self.high[np.minimum(word, len(self.high) - 1)] >> ((place + 1) & 63).astype(_U)
+        end = start + np.bitwise_count((rest & -rest) - _U(1))
+        far = np.flatnonzero((rest == 0) | (word >= len(self.high)))  # the run goes on in the next word
+        end[far] = self._below(high[far] + 1, zeros)[0]
+        return start, end
 
     def successor(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it holds value) of the first of places lo..hi-1 with at least value; hi if none has.
@@ -90,8 +101,9 @@ class Sequence:
         high = (value >> _U(self.low)).astype(np.int64)
         want = value & _U((1 << self.low) - 1)
         end = hi.astype(np.int64)
-        a = np.minimum(np.maximum(lo, self._below(high)), end)
-        b = np.maximum(a, np.minimum(end, self._below(high + 1)))
+        start, behind = self._group(high)
+        a = np.minimum(np.maximum(lo, start), end)
+        b = np.maximum(a, np.minimum(end, behind))
         stop = b.copy()
         live = np.flatnonzero(a < b)
         while len(live):

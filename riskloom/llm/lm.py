@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import eliasfano
 from riskloom.llm.blocks import runs
-from riskloom.llm.common import WordHasher, column, filesystem, remove, shared_path, shuffle_parts, small_batches, stored, texts
+from riskloom.llm.common import WordHasher, column, filesystem, remove, shared_path, shuffle_parts, small_batches, stored
 
 STEP = 1 / 25
-FAN = 4
+#: tokens between places where a level may be cut, and of a shard at most; a shard has fewer where tasks would go without
+PIECE, SHARD = 1 << 18, 1 << 21
 BATCH = 8 << 20
 _U = np.uint64
 END = WordHasher().h(b"")  # no word is empty
@@ -72,7 +73,7 @@ def open_arrays(uri: str) -> dict[str, np.ndarray]:
 
     store, path = filesystem(uri)
     if isinstance(store, fs.LocalFileSystem):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
         with store.open_input_file(path) as f:
             data = np.frombuffer(f.read(), np.uint8)
@@ -95,6 +96,8 @@ class Level:
     size: int = 0
     discount: float = 0.5
     raw: list[str] = field(default_factory=list)
+    #: a shard that has words of the context, for contexts that are spread
+    home: dict[int, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -120,19 +123,34 @@ def shard_of(ctx: np.ndarray, word: np.ndarray, from_ctx: np.ndarray, from_word:
     return out
 
 
-def _ordered(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    if not len(ctx) or int(ctx.max()) < 1 << 32:
-        return np.argsort(ctx.astype(_U) << _U(32) | word.astype(_U), kind="stable")
-    return np.lexsort((word, ctx))
+def _sorted_pairs(a: np.ndarray, b: np.ndarray, tops: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (a, b), integers from 0 on, and where distinct pairs start in it. tops: no value is above them.
+    Pairs are packed with their places in a word, where they fit, as sorting values is much faster than sorting places."""
+    n = len(a)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    bits_a, bits_b = (max(1, int(t).bit_length()) for t in tops or (a.max(), b.max()))
+    place = n.bit_length()
+    if bits_a + bits_b + place <= 64:
+        key = (a.astype(_U) << _U(bits_b) | b.astype(_U)) << _U(place) | np.arange(n, dtype=_U)
+        key.sort()
+        order = (key & _U((1 << place) - 1)).astype(np.int64)
+        key >>= _U(place)
+    elif bits_a + bits_b <= 64:
+        key = a.astype(_U) << _U(bits_b) | b.astype(_U)
+        order = np.argsort(key)
+        key = key[order]
+    else:
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        return order, np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    return order, np.flatnonzero(np.append(True, key[1:] != key[:-1]))
 
 
-def counted(ctx: np.ndarray, word: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order with their counts."""
-    order = _ordered(ctx, word)
-    ctx, word = ctx[order], word[order]
-    first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])])) if len(ctx) else np.empty(0, np.int64)
-    sums = np.diff(first, append=len(ctx)) if n is None else np.add.reduceat(n[order], first) if len(first) else n[:0]
-    return ctx[first], word[first], sums
+def counted(ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order with their counts added up."""
+    order, first = _sorted_pairs(ctx, word)
+    return ctx[order[first]], word[order[first]], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
 def small(a: np.ndarray) -> bytes:
@@ -151,12 +169,33 @@ def unsmall(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+@dataclass
+class Batch:
+    """Tokens of some texts: at is each one's place among the distinct ids (ascending; -1 for unknown words)."""
+
+    at: np.ndarray
+    ids: np.ndarray
+    times: np.ndarray
+    lengths: np.ndarray
+
+
+@dataclass
+class Found:
+    """What a level has of a batch: the distinct n-grams that were looked up, in order, with their places (-1 if not
+    there), last words, log10 probabilities and back-off weights, and each token's n-gram (-1 if none)."""
+
+    of: np.ndarray
+    place: np.ndarray
+    word: np.ndarray
+    logp: np.ndarray
+    back: np.ndarray
+
+
 class Reader:
     """A worker's view of a model; shards are opened when first needed."""
 
     def __init__(self, model: Model):
         self.m = model
-        self.hasher = WordHasher()
         self.open: dict[str, dict] = {}
 
     def _arrays(self, path: str) -> dict[str, np.ndarray]:
@@ -164,22 +203,17 @@ class Reader:
             self.open[path] = open_arrays(path)
         return self.open[path]
 
-    def tokens(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each token with the end of each text, number of tokens of each text)."""
-        split = [d.encode("utf-8", "surrogatepass").lower().split() for d in docs]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        words = self.hasher.array([w for s in split for w in s])
-        h = np.empty(len(words) + len(split), _U)
-        ends = np.cumsum(n + 1) - 1
-        rest = np.ones(len(h), bool)
-        rest[ends] = False
-        h[ends], h[rest] = END, words
-        return h, n + 1
+    def tokens(self, texts_: pa.Array) -> Batch:
+        """Tokens with the end of each text."""
+        at, hashes, lengths = tokens(texts_)
+        found, back = np.unique(self.ids(hashes), return_inverse=True)
+        return Batch(back[at], found, np.bincount(back[at], minlength=len(found)), lengths)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        """Vocabulary places of hashes; -1 if not there."""
-        u, back = np.unique(h, return_inverse=True)
-        out = np.full(len(u), -1, np.int64)
+        """Vocabulary places of distinct hashes; -1 if not there."""
+        order = np.argsort(h)
+        u = h[order]
+        got = np.full(len(u), -1, np.int64)
         bucket = ((u >> _U(40)) * _U(self.m.buckets) >> _U(24)).astype(np.int64)
         level = self.m.levels[0]
         for a, n in zip(*runs(bucket)):
@@ -187,27 +221,37 @@ class Reader:
                 continue
             have = self._arrays(path)["hash"]
             at = np.minimum(np.searchsorted(have, u[a : a + n]), len(have) - 1)
-            out[a : a + n] = np.where(have[at] == u[a : a + n], at + level.bases[bucket[a]], -1)
-        return out[back]
+            got[a : a + n] = np.where(have[at] == u[a : a + n], at + level.bases[bucket[a]], -1)
+        out = np.empty(len(h), np.int64)
+        out[order] = got
+        return out
 
-    def counts(self, k: int, places: np.ndarray) -> np.ndarray:
-        """Counts of entries of level k."""
+    def gathered(self, k: int, places: np.ndarray, raw: tuple[str, ...] = (), made: tuple[str, ...] = ()) -> list[np.ndarray]:
+        """Values of entries of level k, from the raw and the finished arrays of their shards."""
         level = self.m.levels[k - 1]
-        out = np.zeros(len(places), np.int64)
-        order = np.argsort(places, kind="stable")
-        shard = np.searchsorted(level.bases, places[order], "right") - 1
+        order, _ = _sorted_pairs(places, np.zeros(len(places), np.int64), (max(level.size - 1, 0), 0))
+        sorted_ = places[order]
+        out = [np.zeros(len(places), np.int64) for _ in (*raw, *made)]
+        shard = np.searchsorted(level.bases, sorted_, "right") - 1
         for a, n in zip(*runs(shard)):
-            i = order[a : a + n]
-            if places[i[0]] >= 0:
-                out[i] = self._arrays(level.raw[shard[a]])["count"][places[i] - level.bases[shard[a]]]
+            s, i = shard[a], order[a : a + n]
+            at = sorted_[a : a + n] - level.bases[s]
+            for j, (paths, name) in enumerate([*((level.raw, x) for x in raw), *((level.paths, x) for x in made)]):
+                out[j][i] = self._arrays(paths[s])[name][at]
         return out
 
+    def counts(self, k: int, places: np.ndarray) -> np.ndarray:
+        """Counts of entries of level k."""
+        return self.gathered(k, places, ("count",))[0]
+
     def unigram(self, ids: np.ndarray) -> np.ndarray:
         """log10 of (c + 1/2) / (N + (V + 1) / 2)."""
-        c = np.where(ids >= 0, self.counts(1, np.maximum(ids, 0)), 0) if self.m.words else np.zeros(len(ids))
+        c = np.zeros(len(ids), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        c[known] = self.counts(1, ids[known])
         return np.log10((c + 0.5) / (self.m.tokens + 0.5 * (self.m.words + 1)))
 
-    def find(self, k: int, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, k: int, ctx: np.ndarray, word: np.ndarray, scores: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For pairs of level k in order: place or -1, log10 probability there, log10 back-off weight of the context."""
         level = self.m.levels[k - 1]
         place, logp, back = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.zeros(len(ctx))
@@ -229,77 +273,88 @@ class Reader:
             lo, hi = pointers.get(own[each]).astype(np.int64), pointers.get(own[each] + 1).astype(np.int64)
             base = np.where(lo > 0, words.get(np.maximum(lo - 1, 0)), 0).astype(_U)
             lo, hi, base = (np.repeat(x, many) for x in (lo, hi, base))
-            known = word[mine] >= 0
-            at, hit = words.successor(lo, np.where(known, hi, lo), base + np.maximum(word[mine], 0).astype(_U))
-            place[mine[hit]] = at[hit] + level.bases[s]
-            logp[mine[hit]] = -STEP * part["prob"][at[hit]]
-            back[mine] = -STEP * part["back"][own]
-        return place, logp, back
-
-    def words_at(self, k: int, places: np.ndarray) -> np.ndarray:
-        """The last word of entries of level k."""
-        level = self.m.levels[k - 1]
-        if k == 1:
-            return places
-        out = np.zeros(len(places), np.int64)
-        order = np.argsort(places, kind="stable")
-        shard = np.searchsorted(level.bases, places[order], "right") - 1
-        for a, n in zip(*runs(shard)):
-            i = order[a : a + n]
-            out[i] = self._arrays(level.raw[shard[a]])["word"][places[i] - level.bases[shard[a]]]
-        return out
-
-    def contexts_of(self, k: int, places: np.ndarray) -> np.ndarray:
-        """The contexts of entries of level k."""
-        level = self.m.levels[k - 1]
-        out = np.zeros(len(places), np.int64)
-        order = np.argsort(places, kind="stable")
-        shard = np.searchsorted(level.bases, places[order], "right") - 1
-        for a, n in zip(*runs(shard)):
-            i = order[a : a + n]
-            out[i] = self._arrays(level.raw[shard[a]])["ctx"][places[i] - level.bases[shard[a]]]
-        return out
-
-    def lookup(self, k: int, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """find() for pairs in any order; a context below 0 has no entry."""
-        use = np.flatnonzero(ctx >= 0)
-        place, logp, back = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.zeros(len(ctx))
-        if len(use):
-            shifted = word[use] + 1  # unknown words sort first
-            order = _ordered(ctx[use], shifted)
-            c, w = ctx[use][order], shifted[order]
-            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
-            got = self.find(k, c[first], w[first] - 1)
-            of = np.empty(len(use), np.int64)
-            of[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(c)))
-            place[use], logp[use], back[use] = (g[of] for g in got)
+            known = np.flatnonzero(word[mine] >= 0)
+            at, hit = words.successor(lo[known], hi[known], base[known] + word[mine[known]].astype(_U))
+            at, known = at[hit], mine[known[hit]]
+            place[known] = at + level.bases[s]
+            if scores:
+                logp[known] = -STEP * part["prob"][at]
+                back[mine] = -STEP * part["back"][own]
+        for c, s in level.home.items() if scores else ():  # the word's own shard may have none of the context's words
+            a, b = np.searchsorted(ctx, [c, c + 1])
+            if a < b:
+                part = self._arrays(level.paths[s])
+                back[a:b] = -STEP * part["back"][c - int(part["range"][0])]
         return place, logp, back
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-        """For each token, the place in level k - 1 of the k - 1 tokens before it, or -1. first: tokens before it in its text."""
-        ctx = np.full(len(ids), -1, np.int64)
-        ctx[1:] = ids[:-1]
-        ctx[first < 1] = -1
-        for j in range(2, k):
-            place, _, _ = self.lookup(j, ctx, ids)  # of the j tokens that end here
-            ctx[1:] = place[:-1]
-            ctx[0] = -1
-            ctx[first < j] = -1
-        return ctx
-
-    def score(self, ids: np.ndarray, first: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; low: unigram()."""
+    def levels(self, batch: Batch, top: int, scores: bool = True) -> Iterator[Found]:
+        """Each level's n-grams of a batch, from 2 to top. One that isn't there is in no longer one that is."""
+        before = _before(batch.lengths)
+        last = Found(batch.at, batch.ids, batch.ids, batch.ids, batch.ids)
+        for k in range(2, top + 1):
+            use, ctx, end = followed(last, before, k)
+            if k == 2:
+                end, words = last.of[use], last.word
+            else:  # 0: the shorter n-gram isn't there, so only the weight of the context is looked up
+                end = np.where(end >= 0, end + 1, 0)
+                words = np.append(-1, last.word)
+            order, first = _sorted_pairs(ctx, end, (len(last.place), len(words)))
+            one = order[first]
+            word = words[end[one]]
+            of = np.full(len(batch.at), -1, np.int64)
+            of[use[order]] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+            place, logp, back = self.find(k, last.place[ctx[one]], word, scores)
+            last = Found(of, place, word, logp, back)
+            yield last
+
+    def score(self, batch: Batch, low: np.ndarray) -> np.ndarray:
+        """log10 probability of each token; low: unigram() of each."""
         out = low
-        ctx = np.full(len(ids), -1, np.int64)
-        ctx[1:] = ids[:-1]
-        ctx[first < 1] = -1
-        for k in range(2, self.m.order + 1):
-            place, logp, back = self.lookup(k, ctx, ids)
-            out = np.where(place >= 0, logp, back + out)
-            ctx = np.concatenate([[-1], place[:-1]])
-            ctx[first < k] = -1
+        for found in self.levels(batch, self.m.order):
+            use = np.flatnonzero(found.of >= 0)
+            of = found.of[use]
+            out = out.copy()
+            out[use] = np.where(found.place[of] >= 0, found.logp[of], found.back[of] + out[use])
         return out
 
+    def words_at(self, k: int, places: np.ndarray) -> np.ndarray:
+        """The last word of entries of level k."""
+        while k > 1:
+            places = self.gathered(k, places, ("word",))[0]
+            k = 1 if k == 2 else k - 1
+        return places
+
+
+def followed(last: Found, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens whose k - 1 tokens before them are an n-gram of the level below, that n-gram, and the one that ends with
+    the token (-1: not there)."""
+    there = np.append(last.place >= 0, False)  # -1 is none
+    use = 1 + np.flatnonzero((before[1:] >= k - 1) & there[last.of[:-1]])
+    end = last.of[use]
+    return use, last.of[use - 1], np.where(there[end], end, -1)
+
+
+def tokens(texts_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each token among the distinct ones, their hashes, number of tokens of each text) of strings, with the
+    end of each."""
+    import pyarrow.compute as pc
+    import xxhash
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts_, "")))
+    flat = split.flatten()
+    some = np.asarray(pc.binary_length(flat)) > 0  # empty ones are before the first and behind the last white space
+    n = np.diff(np.append(0, np.cumsum(some))[np.append(0, np.cumsum(np.asarray(split.value_lengths(), np.int64)))])
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    words = coded.dictionary
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1].tolist() if len(words) else [0]
+    data = words.buffers()[2].to_pybytes() if len(words) else b""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, map(data.__getitem__, map(slice, ends, ends[1:]))), _U, len(words))
+    out = np.full(int(n.sum()) + len(n), len(words), np.int64)
+    rest = np.ones(len(out), bool)
+    rest[np.cumsum(n + 1) - 1] = False
+    out[rest] = np.asarray(coded.indices)
+    return out, np.append(hashes, _U(END)), n + 1
+
 
 def _before(lengths: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... within each text."""
@@ -327,9 +382,10 @@ def _reduce(rows: DataFrame, folder: str, level: int, parts: int) -> list:
             write_arrays(path, {"hash": ctx, "count": n} if level == 1 else {"ctx": fitted(ctx), "word": fitted(word), "count": fitted(n)})
             total = int(n.sum())
             ends = np.cumsum(n)
-            target = total * np.arange(1, FAN) / FAN
+            pieces = -(-total // PIECE)
+            target = total * np.arange(1, pieces) / pieces
             at = np.searchsorted(ends, target, "right")
-            part = np.where(n[at] * FAN > total, (target - (ends[at] - n[at])) / n[at], 0.0)
+            part = np.where(n[at] * pieces > total, (target - (ends[at] - n[at])) / n[at], 0.0)
             row = [shard, path, len(n), total, int((n == 1).sum()), int((n == 2).sum()), *((0, 0, 0, 0) if level == 1 else (int(ctx[0]), int((ctx == ctx[0]).sum()), int(ctx[-1]), int((ctx == ctx[-1]).sum()))), at.tolist(), part.tolist()]
             kinds = [pa.int32(), pa.string(), *[pa.int64()] * 8, pa.list_(pa.int64()), pa.list_(pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in _MANIFEST.split(", ")])
@@ -359,14 +415,9 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     model = Model(shared_path(spark, "trie"), order, parts)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in small_batches(batches, "text", BATCH):
-            c: Counter = Counter()
-            for t in texts(b):
-                c.update(t.encode("utf-8", "surrogatepass").lower().split())
-            c[b""] = b.num_rows
-            h = np.fromiter(map(hasher.h, c), _U, len(c))
-            n = np.fromiter(c.values(), np.int64, len(c))
+            at, h, _ = tokens(column(b, "text"))
+            n = np.bincount(at, minlength=len(h))
             order_ = np.argsort(h)
             h, n = h[order_], n[order_]
             shard = ((h >> _U(40)) * _U(parts) >> _U(24)).astype(np.int64)
@@ -385,37 +436,50 @@ def train(docs: DataFrame, order: int = 3) -> Model:
             model.tokens += r["total"]
     level.raw = level.paths
     model.levels.append(level)
-    splits = _splits(rows, {s: int(level.bases[s]) for s in found}, model.words)
+    most = max(PIECE, min(SHARD, model.tokens // (2 * parts)))
+    splits = _splits(rows, {s: int(level.bases[s]) for s in found}, model.words, most)
     for k in range(2, order + 1):
         rows = _reduce(_pairs(docs, model, k, splits), model.folder, k, parts)
         level = _level(rows, splits)
         model.levels.append(level)
         _finish(spark, model, k, rows, parts)
-        splits = _splits(rows, {r["shard"]: int(level.bases[r["shard"]]) for r in rows}, model.words)
+        splits = _splits(rows, {r["shard"]: int(level.bases[r["shard"]]) for r in rows}, model.words, most)
     return model
 
 
-def _splits(rows: list, bases: dict[int, int], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, word) from which on each shard of the next level reaches: FAN shards for each of this."""
-    out = [(0, 0)]
+def _splits(rows: list, bases: dict[int, int], words: int, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word) from which on each shard of the next level reaches. rows: shards of this, in order, which are cut
+    in pieces; a shard takes pieces up to most tokens, or one."""
+    out, held = [(0, 0)], 0
     for r in rows:
         base = bases[r["shard"]]
-        out += [(base, 0), *((base + at, int(part * words)) for at, part in zip(r["split_at"], r["split_part"]))]
+        piece = r["total"] / (1 + len(r["split_at"])) if most else 0
+        for cut in [(base, 0), *((base + at, int(part * words)) for at, part in zip(r["split_at"], r["split_part"]))]:
+            if held + piece > most or not most:
+                out.append(cut)
+                held = 0
+            held += piece
     ctx, word = zip(*sorted(set(out)))
     return np.array(ctx, np.int64), np.array(word, np.int64)
 
 
 def _pairs(docs: DataFrame, model: Model, k: int, splits: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Counts of (context, word); from level 3 on, the place of the shorter n-gram that ends with the word stands for it,
+    as it tells the word, is in the same order and leads to the lower level."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for b in small_batches(batches, "text", BATCH):
-            h, lengths = reader.tokens(texts(b))
-            ids = reader.ids(h)
-            ctx = reader.contexts(ids, _before(lengths), k)
-            use = ctx >= 0
-            c, w, n = counted(ctx[use], ids[use], None)
-            if len(c):
-                yield _counted_rows(shard_of(c, w, *splits), c, w, n)
+            batch = reader.tokens(column(b, "text"))
+            last = Found(batch.at, batch.ids, batch.ids, batch.ids, batch.ids)
+            for last in reader.levels(batch, k - 1, scores=False):
+                pass
+            _, ctx, end = followed(last, _before(batch.lengths), k)
+            if len(ctx):
+                order, first = _sorted_pairs(ctx, end, (len(last.place), len(last.place)))
+                n = np.diff(first, append=len(order))
+                c, w = ctx[order[first]], end[order[first]]
+                yield _counted_rows(shard_of(last.place[c], last.word[w], *splits), last.place[c], last.place[w], n)
 
     return docs.mapInArrow(run, _COUNTED)
 
@@ -429,6 +493,8 @@ def _level(rows: list, splits: tuple[np.ndarray, np.ndarray]) -> Level:
         if r := found.get(s):
             level.raw[s] = r["path"]
             level.size += r["n"]
+    spread = set(splits[0][splits[1] > 0].tolist())
+    level.home = {r[c]: r["shard"] for r in rows for c in ("first", "last") if r[c] in spread}
     n1, n2 = sum(r["n1"] for r in rows), sum(r["n2"] for r in rows)
     level.discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
     return level
@@ -455,14 +521,12 @@ def _finish(spark, model: Model, k: int, rows: list, parts: int) -> None:
                 total = reader.counts(k - 1, own).astype(np.float64)
                 kinds = np.array([spread.get(int(c), m) if i in (0, len(own) - 1) else m for i, (c, m) in enumerate(zip(own, many))], np.float64)
                 weight = level.discount * kinds / total
-                low = reader.unigram(word)
-                if k > 2:
-                    last = np.repeat(reader.words_at(k - 1, own), many)
-                    for j in range(2, k):  # the word after the last j - 1 words of the context; j = 2 .. k - 1
-                        suffix = last if j == 2 else np.repeat(_suffix(reader, own, k, j), many)
-                        place, logp, back = reader.lookup(j, suffix, word)
-                        low = np.where(place >= 0, logp, back + low)
-                p = (n - level.discount) / np.repeat(total, many) + np.repeat(weight, many) * 10.0**low
+                if k == 2:
+                    lower = 10.0 ** reader.unigram(word)
+                else:  # the shorter n-gram was seen where this one was
+                    word, prob = reader.gathered(k - 1, word, ("word",), ("prob",))
+                    word, lower = reader.words_at(k - 2, word) if k > 3 else word, (10.0 ** (-STEP * np.arange(256)))[prob]
+                p = (n - level.discount) / np.repeat(total, many) + np.repeat(weight, many) * lower
                 quant = lambda x: np.clip(np.rint(-np.log10(x) / STEP), 0, 255).astype(np.uint8)
                 first, end = int(own[0]), int(own[-1])
                 pointer = np.zeros(end - first + 2, np.int64)
@@ -484,32 +548,18 @@ def _finish(spark, model: Model, k: int, rows: list, parts: int) -> None:
             level.paths[r["shard"]] = r["path"]
 
 
-def _suffix(reader: Reader, places: np.ndarray, k: int, j: int) -> np.ndarray:
-    """Places in level j - 1 of the last j - 1 words of entries of level k - 1."""
-    words = [reader.words_at(k - 1, places)]
-    at, level = places, k - 1
-    while len(words) < j - 1:
-        at = reader.contexts_of(level, at)
-        level -= 1
-        words.append(reader.words_at(level, at))
-    ctx = words[-1]
-    for i, w in enumerate(reversed(words[:-1]), 2):
-        ctx, _, _ = reader.lookup(i, ctx, w)
-    return ctx
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for b in small_batches(batches, "text", BATCH):
-            h, lengths = reader.tokens(texts(b))
-            ids = reader.ids(h)
-            low = reader.unigram(ids)
-            full = reader.score(ids, _before(lengths), low)
+            batch = reader.tokens(column(b, "text"))
+            lengths = batch.lengths
+            low = reader.unigram(batch.ids)[batch.at]
+            full = reader.score(batch, low)
             at = np.cumsum(lengths) - lengths
-            cols = [np.add.reduceat((ids >= 0).astype(np.int64), at), np.add.reduceat(low, at), np.add.reduceat(full, at)]
+            cols = [np.add.reduceat((batch.ids >= 0)[batch.at].astype(np.int64), at), np.add.reduceat(low, at), np.add.reduceat(full, at)]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(lengths), *map(pa.array, cols)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return _by_doc(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
