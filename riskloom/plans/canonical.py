@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import decode
@@ -15,12 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(c: Column, kind: str = "decimal(18,2)") -> Column:
+    """An amount of a double as the SQL rounds it: the product with 100 as a double, halves away from zero. Spark's cast
+    reads the shortest decimal form instead, which is on the other side of some halves (1.005)."""
+    n = F.round(c * 100)
+    return F.when(F.abs(n) < 9e17, (n.cast("long").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast(kind)).otherwise(c.cast(kind))
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("party_id"), F.when(F.col("o_orderkey") % 2 == 0, "core_a").otherwise("core_b").alias("core"),
         decode(F.col("o_orderpriority"), TYPES).alias("txn_type"), decode(F.col("o_orderstatus"), STATUS).alias("status"),
-        F.col("o_orderdate").cast("date").alias("posted_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), (F.col("o_orderstatus") == "F").alias("ctr_filed"),
+        F.col("o_orderdate").cast("date").alias("posted_date"), cents(F.col("o_totalprice")).alias("amount"), (F.col("o_orderstatus") == "F").alias("ctr_filed"),
     )
 
 
@@ -31,7 +40,7 @@ def last_day(txn: DataFrame):
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("at"), F.col("ts").cast("date").alias("day"), "event_type", F.col("value").cast("decimal(18,2)").alias("amount"), "value")
+    return e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("at"), F.col("ts").cast("date").alias("day"), "event_type", cents(F.col("value")).alias("amount"), "value")
 
 
 def block_pairs(a: DataFrame, b: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.similarity import scored_pairs
 from riskloom.functions.text import decode, party_key, search_text
 from riskloom.operators import profile, risk, search
-from riskloom.plans.canonical import STATUS, TYPES, activity, block_pairs, last_day, table, transactions
+from riskloom.plans.canonical import STATUS, TYPES, activity, block_pairs, cents, last_day, table, transactions
 
 _CASE = lambda col, d: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items()) + " END"
 _TXN = f"(SELECT o_orderkey AS txn_id, o_custkey AS party_id, CASE WHEN o_orderkey % 2 = 0 THEN 'core_a' ELSE 'core_b' END AS core, {_CASE('o_orderpriority', TYPES)} AS txn_type, {_CASE('o_orderstatus', STATUS)} AS status, CAST(o_orderdate AS DATE) AS posted_date, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderstatus = 'F' AS ctr_filed FROM orders)"
@@ -63,7 +63,7 @@ def _expected(spark, d):
     txn = transactions(spark, d)
     month = txn.groupBy("party_id", F.trunc("posted_date", "MM").alias("m")).agg(F.sum("amount").alias("total"))
     day = txn.groupBy("party_id", "posted_date").agg(F.sum("amount").alias("total"))
-    expected = table(spark, d, "customer").select(F.col("c_custkey").alias("party_id"), (F.abs("c_acctbal") * 40).cast("decimal(18,2)").alias("expected"))
+    expected = table(spark, d, "customer").select(F.col("c_custkey").alias("party_id"), cents(F.abs("c_acctbal") * 40).alias("expected"))
     return risk.expected_ratio(risk.best_window(month, day), expected, 3, 10000)
 
 
@@ -251,7 +251,7 @@ def i13_dq_rules(spark: SparkSession, d: str) -> DataFrame:
     low = table(spark, d, "customer").where("c_acctbal < 0")
     out = row(dup, "DQ_DUPLICATE_KEY", "CRITICAL", "k", F.concat(F.col("n").cast("string"), F.lit(" rows")))
     out = out.unionByName(row(lone, "DQ_NO_LABEL", "WARNING", "doc_id", F.col("lang")))
-    return out.unionByName(row(low, "DQ_NEGATIVE_BALANCE", "WARNING", "c_custkey", F.col("c_acctbal").cast("decimal(18,2)")))
+    return out.unionByName(row(low, "DQ_NEGATIVE_BALANCE", "WARNING", "c_custkey", cents(F.col("c_acctbal"))))
 
 
 def _inner_pairs(p: DataFrame, keys: list[str]) -> DataFrame:
@@ -294,7 +294,7 @@ def i14_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 def i15_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     """Rows and amounts loaded against control totals."""
-    one = lambda name, col: table(spark, d, name).agg(F.lit(name).alias("file"), F.count("*").alias("n"), F.sum(F.col(col).cast("decimal(18,2)")).cast("decimal(38,2)").alias("amount"))
+    one = lambda name, col: table(spark, d, name).agg(F.lit(name).alias("file"), F.count("*").alias("n"), F.sum(cents(F.col(col))).cast("decimal(38,2)").alias("amount"))
     got = one("orders", "o_totalprice").unionByName(one("customer", "c_acctbal")).unionByName(one("supplier", "s_acctbal"))
     want = spark.createDataFrame([("orders", 15000), ("customer", 1500), ("supplier", 99)], "file string, expected long")
     return got.join(want, "file", "left").select("file", "n", "amount", "expected", F.when(F.col("n") == F.col("expected"), "MATCH").otherwise("BREAK").alias("status"))

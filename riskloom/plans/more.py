@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import decode
-from riskloom.plans.canonical import STATUS, table, transactions
+from riskloom.plans.canonical import STATUS, cents, table, transactions
 
 
 def j02_account(spark: SparkSession, d: str) -> DataFrame:
     """Accounts of both cores, repeated keys reduced to their first row, with their party."""
     one = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = table(spark, d, "orders").withColumn("rn", F.row_number().over(one)).where("rn = 1")
-    bal = F.col("c_acctbal").cast("decimal(38,2)")
+    bal = cents(F.col("c_acctbal"), "decimal(38,2)")
     return o.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select(F.concat(F.lit("core_a:"), F.col("o_custkey").cast("string")).alias("account_id"), decode(F.col("o_orderstatus"), STATUS).alias("status"), F.col("o_orderdate").cast("date").alias("opened_on"), bal.alias("balance_usd"))
 
 
@@ -24,7 +24,7 @@ def j03_loan(spark: SparkSession, d: str) -> DataFrame:
     """Decoded by how a description starts."""
     p = table(spark, d, "part")
     kind = F.when(F.col("p_type").startswith("STANDARD"), "STANDARD").when(F.col("p_type").startswith("PROMO"), "PROMO").when(F.col("p_type").startswith("ECONOMY"), "ECONOMY")
-    return p.select("p_partkey", kind.alias("loan_type"), (F.col("p_retailprice").cast("decimal(38,2)") / 100).cast("decimal(38,2)").alias("principal_usd"), (F.col("p_size") >= 25).alias("large"))
+    return p.select("p_partkey", kind.alias("loan_type"), (cents(F.col("p_retailprice"), "decimal(38,2)") / 100).cast("decimal(38,2)").alias("principal_usd"), (F.col("p_size") >= 25).alias("large"))
 
 
 def j05_alert(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def j05_alert(spark: SparkSession, d: str) -> DataFrame:
 
 def j06_profile(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.col("c_mktsegment").alias("occupation"), (F.abs("c_acctbal") * 40).cast("decimal(18,2)").alias("expected_cash"), "n_name")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.col("c_mktsegment").alias("occupation"), cents(F.abs("c_acctbal") * 40).alias("expected_cash"), "n_name")
 
 
 def j07_branch(spark: SparkSession, d: str) -> DataFrame:

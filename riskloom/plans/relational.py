@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import full_match, reason_codes
-from riskloom.plans.canonical import block_pairs, table
+from riskloom.plans.canonical import block_pairs, cents, table
 
 SQL = {
     "b01_projection": "SELECT c_custkey, c_name, 'core_a' AS core, c_acctbal * 2 AS double_bal FROM {customer}",
@@ -159,12 +159,12 @@ def d07_min_by(spark: SparkSession, d: str) -> DataFrame:
 
 def d08_argmax(spark: SparkSession, d: str) -> DataFrame:
     """The day with the most events, then the largest total, then the latest."""
-    day = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+    day = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum(cents(F.col("value"))).alias("total"))
     return day.groupBy("user_id").agg(F.max_by("day", F.struct("n", "total", "day")).alias("best_day"), F.max("n").alias("n"))
 
 
 def d15_evidence_sentence(spark: SparkSession, d: str) -> DataFrame:
-    top = F.max(F.col("o_totalprice").cast("decimal(18,2)"))
+    top = F.max(cents(F.col("o_totalprice")))
     said = F.concat(F.count("*").cast("string"), F.lit(" orders, largest $"), F.round(top, 0).cast("bigint").cast("string"))
     return table(spark, d, "orders").groupBy("o_custkey").agg(said.alias("evidence"))
 
@@ -177,7 +177,7 @@ def d16_pivot_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def e02_mutual_best(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that are the best for both sides, by two windows."""
-    pairs = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"))
+    pairs = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(cents(F.col("l_quantity"))).alias("qty"))
     s = Window.partitionBy("l_suppkey").orderBy(F.desc("qty"), "l_partkey")
     p = Window.partitionBy("l_partkey").orderBy(F.desc("qty"), "l_suppkey")
     return pairs.withColumns({"ra": F.row_number().over(s), "rb": F.row_number().over(p)}).where("ra = 1 AND rb = 1").select("l_suppkey", "l_partkey", F.col("qty").cast("decimal(38,2)").alias("qty"))
@@ -205,7 +205,7 @@ def e09_ingestion_order(spark: SparkSession, d: str) -> DataFrame:
 
 def e10_running_total(spark: SparkSession, d: str) -> DataFrame:
     """Running total by core over a dense grid of months."""
-    o = table(spark, d, "orders").select((F.col("o_orderkey") % 2).alias("core"), F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"), F.col("o_totalprice").cast("decimal(18,2)").alias("amt"))
+    o = table(spark, d, "orders").select((F.col("o_orderkey") % 2).alias("core"), F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"), cents(F.col("o_totalprice")).alias("amt"))
     span = o.agg(F.min("month").alias("a"), F.max("month").alias("b"))
     grid = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month")).withColumn("core", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     per = grid.join(o.groupBy("core", "month").agg(F.sum("amt").alias("amt")), ["core", "month"], "left")
@@ -219,7 +219,7 @@ def e11_rank_and_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e12_rolling_window(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", F.unix_date(F.col("ts").cast("date")).alias("day"), F.col("value").cast("decimal(18,2)").alias("v"), "event_id")
+    e = table(spark, d, "events").select("user_id", F.unix_date(F.col("ts").cast("date")).alias("day"), cents(F.col("value")).alias("v"), "event_id")
     back = Window.partitionBy("user_id").orderBy("day").rangeBetween(-6, 0)
     return e.select("event_id", F.count("*").over(back).alias("n7"), F.sum("v").over(back).cast("decimal(38,2)").alias("s7"), F.max("v").over(back).alias("m7"))
 
