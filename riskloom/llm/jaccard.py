@@ -38,11 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import blocks
-from riskloom.llm.common import WordHasher, column, mix64, shuffle_parts, small_batches, stored, texts
+from riskloom.llm.common import WordHasher, column, drop_stored, mix64, shuffle_parts, small_batches, stored, texts
 
 BAND = 1.3
 #: ids up to this number may be broadcast (16 MB); beyond, texts are shuffled to them
 BROADCAST_IDS = 1_000_000
+#: passes over the stored blocks, each of which shuffles a share of the keys; what a pass shuffled is freed at its end
+PASSES = 4
+#: rows of an Arrow batch
+ROWS = 2000
 _U = np.uint64
 
 
@@ -205,21 +209,26 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "inter", "na", "nb"])
 
-    return stored(both.mapInArrow(compare, "a long, b long, inter long, na long, nb long"), "verified")
+    out = stored(both.mapInArrow(compare, "a long, b long, inter long, na long, nb long"), "verified")
+    drop_stored(ids)
+    return out
 
 
 def near_groups(docs: DataFrame, k: int, num: int) -> DataFrame:
     """doc_id, n_shingles, component_id of each document; links: 100 * intersection >= num * union."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    side = stored(sketched(docs, k, num, 16 * parts), "sketches")
-    rows = side.where("kind = 0").select("doc_id", "n", "s1", "s2")
+    side = stored(sketched(docs, k, num, 16 * parts), "sketches", ROWS)
+    # what the blocks take goes before texts are shuffled
+    own = stored(side.where("kind = 0").select("doc_id", "n", "s1", "s2", "sketch"), "sets")
+    rows = own.select("doc_id", "n", "s1", "s2")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
-    members = blocks.shared_keys(side, parts)
     of = rows.where("n > 0").join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("_d"), "cls", "n").distinct()
     of = stored(of, "classes")
-    m = members.join(of, F.col("id") == F.col("_d")).select("key", "cls", "n").distinct()
-    m = stored(m, "shared-blocks")
+    # the entries of a key are all in one bucket, so in one pass
+    members = [blocks.shared_keys(side.where(F.col("bucket") % PASSES == i), -(-parts // PASSES)) for i in range(PASSES)]
+    met = [stored(x.join(of, F.col("id") == F.col("_d")).select("key", "cls", "n").distinct(), "shared-blocks") for x in members]
+    drop_stored(side)
 
     def near(x, y):
         return 100 * F.least(x, y) >= num * F.greatest(x, y)
@@ -229,14 +238,15 @@ def near_groups(docs: DataFrame, k: int, num: int) -> DataFrame:
         bits = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(8)]
         return functools.reduce(lambda p, q: p + q, bits) * (100 + num) <= (100 - num) * (nx + ny)
 
-    sketches = side.where("kind = 0 AND n > 0").select(F.col("doc_id").alias("cls"), "sketch")
+    sketches = own.where("n > 0").select(F.col("doc_id").alias("cls"), "sketch")
+    m = functools.reduce(DataFrame.unionByName, met)
     sketches = stored(sketches.join(m.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("sketch").alias("sketch")), "own-sketches")
 
     def compared(p: DataFrame) -> DataFrame:
         both = F.col("na") + F.col("nb") - F.col("inter")
         return verified(p, docs, k).select("a", "b", (100 * F.col("inter") >= num * both).alias("link"), (1 - F.col("inter") / both).alias("dist"))
 
-    comp = blocks.linked(m, sketches, near, may_link, compared, slack=(100 - num) / 100)
+    comp = blocks.linked(met, sketches, near, may_link, compared, slack=(100 - num) / 100)
     out = rows.join(classes, ["n", "s1", "s2"], "left").join(comp, F.col("cls") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
 
